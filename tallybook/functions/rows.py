@@ -113,6 +113,47 @@ def dense_index(
     return found.select(*df.columns, name, *([within_name] if within else []))
 
 
+def sum_before(
+    df: DataFrame, key: str, position: str, sums: Sequence[str], block_rows: int
+) -> DataFrame:
+    """Per ``key``, what each column of ``sums`` adds up to before a row: ``<column>_before``.
+
+    ``position`` numbers rows densely and is unique within a key. Rows are summed inside blocks
+    of ``block_rows`` positions, and the blocks' own totals are summed along the key, so a key
+    holding most rows is shared by many tasks.
+    """
+    block = F.floor(F.col(position) / F.lit(block_rows)).alias("_block")
+    blocked = df.select("*", block)
+    earlier_blocks = (
+        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        blocked.groupBy(key, "_block")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+        .select(
+            key,
+            "_block",
+            *[F.coalesce(F.sum(c).over(earlier_blocks), F.lit(0)).alias(f"_{c}") for c in sums],
+        )
+    )
+    earlier_rows = (
+        Window.partitionBy(key, "_block")
+        .orderBy(position)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = [
+        F.coalesce(F.sum(c).over(earlier_rows), F.lit(0)).alias(f"{c}_before") for c in sums
+    ]
+    return (
+        blocked.select("*", *inside)
+        .join(carried, [key, "_block"])
+        .select(
+            *df.columns,
+            *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums],
+        )
+    )
+
+
 def nest(
     children: DataFrame,
     key: str,

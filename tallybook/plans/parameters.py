@@ -11,3 +11,6 @@ HALF_YEAR = ("1998-01-01", "1998-06-30")
 MONTH = ("1998-03-01", "1998-03-31")
 
 PROCESSING_YEAR = 1998
+
+# Stock the sales feed is set against, as a multiple of the products' stock.
+STOCK_FACTOR = 40

@@ -7,12 +7,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.plans import report_sql, reports
+from tallybook.plans import report_sql, reports, write_sql, writes
 from tallybook.session import configure
 from tallybook.sources.bindings import Bindings
 
-QUERIES = {**reports.QUERIES}
-SQL = {**report_sql.SQL}
+QUERIES = {**reports.QUERIES, **writes.QUERIES}
+SQL = {**report_sql.SQL, **write_sql.SQL}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

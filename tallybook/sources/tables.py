@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallybook.schemas import DEFAULTS, ENUMS, SCHEMAS
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project and cast to the declared columns; a missing optional column takes its default.
+def typed_columns(df: DataFrame, table: str) -> list[Column]:
+    """The declared columns taken from ``df``; a missing optional column takes its default.
 
     A value that cannot be cast becomes NULL, which ``violations`` then reports.
     """
@@ -19,13 +19,18 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     picked = []
     for field in SCHEMAS[table]:
         if field.name in present:
-            picked.append(F.col(field.name).try_cast(field.dataType).alias(field.name))
+            value = F.col(field.name).try_cast(field.dataType)
         elif field.name in defaults or field.nullable:
-            default = F.lit(defaults.get(field.name)).cast(field.dataType)
-            picked.append(default.alias(field.name))
+            value = F.lit(defaults.get(field.name)).cast(field.dataType)
         else:
             raise ValueError(f"{table}: required column {field.name!r} is missing")
-    return df.select(*picked)
+        picked.append(value.alias(field.name))
+    return picked
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """Project and cast a frame to the declared columns of a table."""
+    return df.select(*typed_columns(df, table))
 
 
 def first_violation(table: str, columns: list[str] | None = None) -> Column:
