@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import pandas as pd
@@ -28,8 +30,8 @@ from tallybook.sources.scratch import materialize
 
 # Orders per block of a running sum: what one task sums of one product.
 BLOCK_ORDERS = 100_000
-# Open rows that may be walked in one task; a round is run for anything larger.
-WALK_ROWS = 20_000
+# Open rows that may be walked in one task (a few MB); more than that get another round.
+WALK_ROWS = 100_000
 
 
 class Allocation(NamedTuple):
@@ -39,80 +41,58 @@ class Allocation(NamedTuple):
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Settle the last open orders one by one; the caller has checked how few rows there are."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["seq", "product_id"])
-    left = dict(zip(rows["product_id"], rows["stock"]))
-    settled = []
-    for seq, lines in rows.groupby("seq", sort=True):
-        is_open = not lines["taken"].iloc[0]
-        fits = not is_open or all(left[p] >= n for p, n in zip(lines["product_id"], lines["need"]))
+    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    used: dict[int, int] = {}
+    seqs, verdicts = [], []
+    lines = rows[["seq", "product_id", "demand", "need", "most"]].itertuples(index=False, name=None)
+    for seq, order in groupby(lines, key=itemgetter(0)):
+        order = list(order)
+        fits = all(need <= most - used.get(product, 0) for _, product, _, need, most in order)
         if fits:
-            for product, demand in zip(lines["product_id"], lines["demand"]):
-                left[product] -= demand
-        if is_open:
-            settled.append((seq, fits))
-    yield pd.DataFrame(settled, columns=["seq", "accepted"])
-
-
-def _settle_round(rows: DataFrame, block_orders: int) -> DataFrame:
-    """Orders this round can settle: (seq, accepted)."""
-    bounded = sum_before(
-        rows.select(
-            "seq",
-            "product_id",
-            "need",
-            "stock",
-            "taken",
-            F.when(F.col("taken"), F.col("demand")).otherwise(0).alias("used"),
-            F.when(F.col("taken"), 0).otherwise(F.col("demand")).alias("wanted"),
-        ),
-        "product_id",
-        "seq",
-        ["used", "wanted"],
-        block_orders,
-    )
-    most = F.col("stock") - F.col("used_before")
-    least = most - F.col("wanted_before")
-    return (
-        bounded.where(~F.col("taken"))
-        .groupBy("seq")
-        .agg(
-            F.min((F.col("need") <= least).cast("int")).alias("_fits"),
-            F.max((F.col("need") > most).cast("int")).alias("_fails"),
-        )
-        .where((F.col("_fits") == 1) | (F.col("_fails") == 1))
-        .select("seq", (F.col("_fits") == 1).alias("accepted"))
-    )
+            for _, product, demand, _, _ in order:
+                used[product] = used.get(product, 0) + demand
+        seqs.append(seq)
+        verdicts.append(fits)
+    yield pd.DataFrame({"seq": seqs, "accepted": verdicts})
 
 
-def _still_open(rows: DataFrame, settled: DataFrame) -> DataFrame:
-    """Rows the next round needs, with stock already reduced by what can no longer change.
+def _bounds(rows: DataFrame, settled: DataFrame | None, block_orders: int) -> DataFrame:
+    """Open rows with the bounds of this round.
 
-    Refused orders go. Taken ones before a product's first open order are deducted from its
-    stock for good, those after its last open order matter to nobody, and products without
-    open orders go altogether.
+    What the last round took is deducted from ``most`` of the later rows of its products, once;
+    after that neither its rows nor those it refused are needed any more.
     """
-    marked = (
-        rows.join(settled, "seq", "left")
-        .where(F.col("accepted").isNull() | F.col("accepted"))
-        .withColumn("taken", F.col("taken") | F.col("accepted").isNotNull())
-        .drop("accepted")
-    )
-    spans = (
-        marked.where(~F.col("taken"))
-        .groupBy("product_id")
-        .agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+    if settled is None:
+        current = rows.withColumn("accepted", F.lit(None).cast("boolean"))
+    else:
+        current = rows.join(settled, "seq", "left")
+    current = current.where(F.col("accepted").isNull() | F.col("accepted")).select(
+        *rows.columns,
+        F.when(F.col("accepted"), F.col("demand")).otherwise(0).alias("used"),
+        F.when(F.col("accepted"), 0).otherwise(F.col("demand")).alias("wanted"),
     )
-    spanned = marked.join(spans, "product_id")
-    spent = (
-        spanned.where(F.col("seq") < F.col("_first"))
-        .groupBy("product_id")
-        .agg(F.sum("demand").alias("_spent"))
+    bounded = sum_before(current, "product_id", "seq", ["used", "wanted"], block_orders)
+    most = F.col("most") - F.col("used_before")
+    return bounded.where(F.col("wanted") > 0).select(
+        "seq",
+        "product_id",
+        "demand",
+        "need",
+        most.alias("most"),
+        (most - F.col("wanted_before")).alias("least"),
     )
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """Orders the bounds decide: (seq, accepted)."""
     return (
-        spanned.where(F.col("seq").between(F.col("_first"), F.col("_last")))
-        .join(spent, "product_id", "left")
-        .withColumn("stock", F.col("stock") - F.coalesce("_spent", F.lit(0)))
-        .select(*rows.columns)
+        rows.groupBy("seq")
+        .agg(
+            F.min(F.col("need") <= F.col("least")).alias("accepted"),
+            F.max(F.col("need") > F.col("most")).alias("_fails"),
+        )
+        .where(F.col("accepted") | F.col("_fails"))
+        .select("seq", "accepted")
     )
 
 
@@ -155,18 +135,20 @@ def allocate_stock(
         .select("seq", "feed_id", "product_id", "demand", "need", "stock"),
         "demand",
     )
-    rows = all_rows.drop("feed_id").withColumn("taken", F.lit(False))
+    rows = all_rows.withColumnRenamed("stock", "most").drop("feed_id")
     settled_rounds: list[DataFrame] = []
-    left = rows.count()
-    while left:
-        settled = materialize(_settle_round(rows, block_orders), "settled")
-        settled_rounds.append(settled)
-        rows = materialize(_still_open(rows, settled), "open")
-        left = rows.count()
-        if 0 < left <= walk_rows:
-            last = rows.coalesce(1).mapInPandas(_walk, "seq bigint, accepted boolean")
-            settled_rounds.append(materialize(last, "settled"))
+    while True:
+        last = settled_rounds[-1] if settled_rounds else None
+        bounded = materialize(_bounds(rows, last, block_orders), "open")
+        rows = bounded.drop("least")
+        left = bounded.count()
+        if left == 0:
+            break
+        if settled_rounds and left <= walk_rows:
+            walked = rows.coalesce(1).mapInPandas(_walk, "seq bigint, accepted boolean")
+            settled_rounds.append(materialize(walked, "settled"))
             break
+        settled_rounds.append(materialize(_settle(bounded), "settled"))
     verdicts = numbered.withColumn("accepted", F.lit(True))
     if settled_rounds:
         settled = reduce(DataFrame.unionByName, settled_rounds)

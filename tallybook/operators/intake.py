@@ -41,7 +41,8 @@ class Intake(NamedTuple):
     accepted: DataFrame  # the new orders, with feed_id
     rejected: DataFrame  # feed_id, reject_reason
     shortages: DataFrame
-    state: State
+    new: State  # the rows to add to each table; for products, id and quantity sold
+    state: State  # the tables afterwards
 
 
 def blank(name: str) -> Column:
@@ -227,21 +228,35 @@ def ledger_from_orders(orders: DataFrame) -> DataFrame:
     return orders.select(*_ledger_row())
 
 
-def stock_after_orders(products: DataFrame, items: DataFrame) -> DataFrame:
-    """Products with the quantities of ``items`` taken off their stock."""
-    sold = items.groupBy(F.col("product_id").alias("id")).agg(F.sum("quantity").alias("_sold"))
-    left = (F.col("current_stock") - F.coalesce("_sold", F.lit(0))).cast("int")
+def quantities_sold(items: DataFrame) -> DataFrame:
+    return items.groupBy(F.col("product_id").alias("id")).agg(F.sum("quantity").alias("sold"))
+
+
+def take_off_stock(products: DataFrame, sold: DataFrame) -> DataFrame:
+    """Products less what ``sold`` (id, sold; one row per product) says."""
+    left = (F.col("current_stock") - F.coalesce("sold", F.lit(0))).cast("int")
     return (
         products.join(sold, "id", "left").withColumn("current_stock", left).select(*products.columns)
     )
 
 
-def _append(base: DataFrame, rows: DataFrame) -> DataFrame:
+def stock_after_orders(products: DataFrame, items: DataFrame) -> DataFrame:
+    """Products with the quantities of ``items`` taken off their stock."""
+    return take_off_stock(products, quantities_sold(items))
+
+
+def append_to(base: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows below a table; columns they lack stay NULL, columns it lacks are dropped."""
     kept = [c for c in rows.columns if c in base.columns]
     return base.unionByName(rows.select(*kept), allowMissingColumns=True)
 
 
+def apply_new(state: State, new: State) -> State:
+    """The tables with an intake's new rows added and its sales taken off the stock."""
+    after = {name: append_to(state[name], rows) for name, rows in new.items() if name != "products"}
+    return {**state, **after, "products": take_off_stock(state["products"], new["products"])}
+
+
 def order_intake(
     orders_feed: DataFrame,
     items_feed: DataFrame,
@@ -317,12 +332,17 @@ def order_intake(
         )
     first_entry = next_id(state["financial_transactions"])
     entries = accepted.select((F.col("_n") + F.lit(first_entry)).alias("id"), *_ledger_row("_channel"))
-    new_state = dict(
-        state,
-        customers=_append(state["customers"], buyers.new),
-        products=stock_after_orders(state["products"], lines),
-        orders=_append(state["orders"], accepted),
-        order_items=_append(order_items, new_items),
-        financial_transactions=_append(state["financial_transactions"], entries),
+    new = {
+        "customers": buyers.new,
+        "products": quantities_sold(lines),
+        "orders": accepted.drop("feed_id", "_n", "_channel"),
+        "order_items": new_items,
+        "financial_transactions": entries,
+    }
+    return Intake(
+        accepted.drop("_n", "_channel"),
+        rejected,
+        allocation.shortages,
+        new,
+        apply_new(state, new),
     )
-    return Intake(accepted.drop("_n", "_channel"), rejected, allocation.shortages, new_state)

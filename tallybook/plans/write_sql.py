@@ -269,3 +269,17 @@ UNION ALL SELECT 'financial_transactions', id FROM bo_ledger WHERE NOT (descript
         "bo_ledger",
     ),
 }
+
+STREAM_SQL: dict[str, str] = {
+    "stream_recipe_log": with_tables("SELECT * FROM bo_recipe_log", "bo_recipe_log"),
+    "stream_recipe_counts": with_tables(
+        "SELECT recipe_id, action, COUNT(*) AS times FROM bo_recipe_log GROUP BY recipe_id, action",
+        "bo_recipe_log",
+    ),
+    "stream_daily_sales": with_tables(
+        """
+SELECT CAST(order_date AS DATE) AS day, CAST(SUM(total_amount) AS DOUBLE) AS total, COUNT(*) AS orders
+FROM bo_orders GROUP BY 1""",
+        "bo_orders",
+    ),
+}

@@ -154,7 +154,7 @@ def _replace_children(b: Bindings) -> DataFrame:
 # -- order intake -----------------------------------------------------------------------------
 
 
-def _state(b: Bindings) -> intake.State:
+def intake_state(b: Bindings) -> intake.State:
     stocked = F.col("current_stock") * F.lit(STOCK_FACTOR)
     return {
         "customers": b.customers.select("id", "name"),
@@ -174,11 +174,11 @@ def _intake_validate(b: Bindings) -> DataFrame:
 def _allocation(b: Bindings) -> Allocation:
     """Every sale whose lines are in order, against a multiple of the stock."""
     lines = b.items_feed.where(F.col("quantity") > 0)
-    return allocate_stock(b.orders_feed, lines, _state(b)["products"])
+    return allocate_stock(b.orders_feed, lines, intake_state(b)["products"])
 
 
 def _taken(b: Bindings) -> intake.Intake:
-    return intake.order_intake(b.orders_feed, b.items_feed, _state(b), PROCESSING_YEAR)
+    return intake.order_intake(b.orders_feed, b.items_feed, intake_state(b), PROCESSING_YEAR)
 
 
 def _order_intake(b: Bindings) -> DataFrame:
@@ -236,7 +236,7 @@ def _revision(b: Bindings) -> revisions.Revision:
         "quantity",
         F.coalesce("unit_price", F.when(F.col("line_no") != 1, F.col("valor"))).alias("unit_price"),
     )
-    return revisions.revise_orders(orders, lines, _state(b))
+    return revisions.revise_orders(orders, lines, intake_state(b))
 
 
 def _as_numbers(df: DataFrame, *columns: str) -> DataFrame:
@@ -261,7 +261,7 @@ def _revised_orders(b: Bindings) -> DataFrame:
 
 def _voided(b: Bindings) -> DataFrame:
     """What is left of three tables when every pending order goes."""
-    left = revisions.void_orders(b.orders.where(F.col("status") == "pending"), _state(b))
+    left = revisions.void_orders(b.orders.where(F.col("status") == "pending"), intake_state(b))
     return (
         _keys("orders", left["orders"])
         .unionByName(_keys("order_items", left["order_items"], "order_id"))
