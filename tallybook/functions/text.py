@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Accented letters and the plain letter each one matches.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
@@ -41,3 +41,9 @@ def contains_any(cols: list[str], text: str) -> Column:
     """
     needle = F.lit(fold_text(text))
     return reduce(or_, (F.coalesce(fold(c).contains(needle), F.lit(False)) for c in cols))
+
+
+def distinct_text(df: DataFrame, name: str) -> DataFrame:
+    """The sorted values of a text column; values equal but for case or accents are one."""
+    groups = df.groupBy(fold_key(name).alias("_key")).agg(F.min(name).alias(name))
+    return groups.orderBy("_key").select(name)

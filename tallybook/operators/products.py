@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.functions.rows import paginate, where_all
-from tallybook.functions.text import contains_any, same_text
+from tallybook.functions.text import contains_any, distinct_text, fold_key, same_text
 
 # The category recipes draw their ingredients from.
 INGREDIENT_CATEGORY = "Ingredientes"
@@ -52,7 +52,7 @@ def ingredient_picker(products: DataFrame, category: str = INGREDIENT_CATEGORY)
     return (
         products.where(same_text("category", category))
         .select("id", "name", "category", "unit")
-        .orderBy("name", "id")
+        .orderBy(fold_key("name"), "id")
     )
 
 
@@ -78,7 +78,7 @@ def product_search(
     """One page of the matching products by name, each with its stock label."""
     found = _matching(products, category, stock, search)
     return paginate(
-        found.withColumn("stock_status", stock_label()), [F.asc("name"), F.asc("id")], page, limit
+        found.withColumn("stock_status", stock_label()), [fold_key("name").asc(), F.asc("id")], page, limit
     )
 
 
@@ -102,7 +102,7 @@ def stock_counts(products: DataFrame) -> DataFrame:
 
 
 def product_categories(products: DataFrame) -> DataFrame:
-    return products.select("category").distinct().orderBy("category")
+    return distinct_text(products, "category")
 
 
 def product_lookup(products: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallybook.functions.clock import Moment, as_datetime, ts_lit
 from tallybook.functions.rows import PART_ROWS, nest, paginate, small_page, where_all
-from tallybook.functions.text import contains_any, same_text
+from tallybook.functions.text import contains_any, distinct_text, fold_key, same_text
 
 POPULAR_DAYS = 30  # Fixed value: how long a preparation counts towards popularity.
 
@@ -45,7 +45,7 @@ def recipe_list(
 
     The page is cut first; only ingredients of its recipes are joined and counted.
     """
-    by_name = [F.asc("name"), F.asc("id")]
+    by_name = [fold_key("name").asc(), F.asc("id")]
     wanted = paginate(
         _matching(recipes, category, search).select("id", "name", "category", "prep_time", "image_url"),
         by_name,
@@ -78,7 +78,7 @@ def recipe_list_total(
 
 
 def recipe_categories(recipes: DataFrame) -> DataFrame:
-    return recipes.select("category").distinct().orderBy("category")
+    return distinct_text(recipes, "category")
 
 
 def recipe_counts(

@@ -15,6 +15,7 @@ from tallybook.functions.clock import (
     ts_lit,
 )
 from tallybook.functions.rows import PART_ROWS, money, nest, paginate, small_page, stack_metrics
+from tallybook.functions.text import fold_key
 
 # Statuses of an order that is not done yet; days a best-seller is counted over.
 OPEN_STATUSES = ("pending", "preparing")
@@ -84,10 +85,11 @@ def top_products(
     names = products.select(F.col("id").alias("product_id"), "name")
     return (
         per_product.join(names, "product_id")
-        .groupBy("name")
-        .agg(F.sum("_lines").alias("sales_count"))
-        .orderBy(F.desc("sales_count"), F.asc("name"))
+        .groupBy(fold_key("name").alias("_key"))
+        .agg(F.min("name").alias("name"), F.sum("_lines").alias("sales_count"))
+        .orderBy(F.desc("sales_count"), F.asc("_key"))
         .limit(n)
+        .drop("_key")
     )
 
 
