@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallybook.sources.scratch import materialize
 
-# A page this far down is still a cheap top-k; deeper ones are cut by row index instead.
-TOP_K_ROWS = 100_000
+# Rows every scan task may hand to the one task that merges a top-k. Pages further down are cut
+# by row number instead.
+TOP_K_ROWS = 1_000
 # Rows of one page that may be sent to every task.
 BROADCAST_PAGE_ROWS = 10_000
 # Children one nested document part may hold.
@@ -42,19 +43,21 @@ def check_page(page: int, limit: int) -> int:
     return (page - 1) * limit
 
 
-def paginate(df: DataFrame, order_by: Sequence[Column], page: int, limit: int) -> DataFrame:
-    """Rows of one page, in order. ``order_by`` must end in a unique key.
+def paginate(
+    df: DataFrame, order_by: Sequence[Column], page: int, limit: int, key: str = "id"
+) -> DataFrame:
+    """Rows of one page, in order. ``order_by`` must end in the unique ``key``.
 
     Near pages are a top-k (each task keeps ``offset + limit`` rows). For deep pages that
-    heap would carry most of the table into one task, so there the rows are numbered across
-    tasks and the page is a range of numbers.
+    would carry most of the table into one task, so there the keys alone are numbered across
+    tasks, and the rows are fetched by the keys of the page.
     """
     offset = check_page(page, limit)
     if offset + limit <= TOP_K_ROWS:
         return df.orderBy(*order_by).offset(offset).limit(limit)
-    numbered = dense_index(df, order_by, "_row")
-    rows = (F.col("_row") >= offset) & (F.col("_row") < offset + limit)
-    return numbered.where(rows).drop("_row").orderBy(*order_by)
+    numbered = dense_index(df, order_by, "_row", keep=[key])
+    wanted = numbered.where((F.col("_row") >= offset) & (F.col("_row") < offset + limit)).select(key)
+    return df.join(small_page(wanted, limit), key, "left_semi").orderBy(*order_by)
 
 
 def small_page(page: DataFrame, limit: int) -> DataFrame:
@@ -68,6 +71,7 @@ def dense_index(
     name: str,
     within: Sequence[str] = (),
     within_name: str = "",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Number rows 0, 1, 2 … in ``order_by`` order without gathering them in one task.
 
@@ -75,14 +79,16 @@ def dense_index(
     out with them. The partition sizes (one row per partition) then give every partition its
     first number. ``within`` asks for a second number, counted inside each group: per group
     and partition, so that one group holding most rows is still spread over all partitions.
+    ``keep`` lists the columns that are needed afterwards (default all).
     """
     spark = df.sparkSession
+    columns = df.columns if keep is None else list(keep)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # monotonically_increasing_id() holds the partition above bit 33 and the place below it.
     staged = materialize(
         df.repartitionByRange(parts, *order_by)
         .sortWithinPartitions(*order_by)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .select(*columns, F.monotonically_increasing_id().alias("_place"))
         .withColumn("_part", F.shiftright("_place", 33).cast("int"))
         .withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     )
@@ -110,7 +116,7 @@ def dense_index(
             .join(group_first, [*keys, "_part"])
             .withColumn(within_name, F.col("_gf") + F.col("_gp"))
         )
-    return found.select(*df.columns, name, *([within_name] if within else []))
+    return found.select(*columns, name, *([within_name] if within else []))
 
 
 def sum_before(
@@ -161,13 +167,15 @@ def nest(
     into: str,
     split_by: Sequence[str],
     part_rows: int = PART_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Children as one sorted array of structs per key: ``(key, part, into)``.
 
     A key with more than ``part_rows`` children comes out as several parts, spread by a hash
     of ``split_by``, so no array grows with the data; every other key has the single part 0.
+    ``sizes`` is a cheaper frame to count by: the children before they were joined to anything.
     """
-    counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (children if sizes is None else sizes).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     big = counts.where(F.col("_n") > part_rows).select(
         key, F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts")
     )

@@ -45,5 +45,6 @@ def contains_any(cols: list[str], text: str) -> Column:
 
 def distinct_text(df: DataFrame, name: str) -> DataFrame:
     """The sorted values of a text column; values equal but for case or accents are one."""
-    groups = df.groupBy(fold_key(name).alias("_key")).agg(F.min(name).alias(name))
+    spellings = df.select(name).distinct()
+    groups = spellings.groupBy(fold_key(name).alias("_key")).agg(F.min(name).alias(name))
     return groups.orderBy("_key").select(name)

@@ -79,15 +79,13 @@ def intake_validate(orders_feed: DataFrame, items_feed: DataFrame, products: Dat
     known = products.select(F.col("id").alias("product_id"), F.lit(True).alias("_known"))
     product, quantity = F.col("product_id"), F.col("quantity")
     incomplete = product.isNull() | (product == 0) | quantity.isNull() | (quantity <= 0)
-    wrong = F.when(incomplete, F.lit("incomplete_item")).when(
-        F.col("_known").isNull(), F.lit("unknown_product")
-    )
+    # Line number and fault as one number, so that the first faulty line is a plain minimum.
+    fault = F.when(incomplete, 0).when(F.col("_known").isNull(), 1)
     lines = (
         items_feed.join(known, "product_id", "left")
-        .withColumn("_wrong", wrong)
         .groupBy("feed_id")
         .agg(
-            F.min(F.when(F.col("_wrong").isNotNull(), F.struct("line_no", "_wrong"))).alias("_line"),
+            F.min(F.coalesce("line_no", F.lit(0)).cast("bigint") * 2 + fault).alias("_fault"),
             F.max(line_price(items_feed).isNull()).alias("_unpriced"),
             F.sum(line_amount(items_feed)).alias("_total"),
         )
@@ -98,7 +96,8 @@ def intake_validate(orders_feed: DataFrame, items_feed: DataFrame, products: Dat
         F.when(blank("order_date"), F.lit("no_date")),
         F.when(blank("channel"), F.lit("no_channel")),
         F.when(F.col("order_date").try_cast("timestamp_ntz").isNull(), F.lit("invalid_date")),
-        F.col("_line._wrong"),
+        F.when(F.pmod("_fault", F.lit(2)) == 0, F.lit("incomplete_item")),
+        F.when(F.pmod("_fault", F.lit(2)) == 1, F.lit("unknown_product")),
         F.when(~F.lower("channel").isin(*CHANNELS), F.lit("invalid_channel")),
         F.when(F.col("customer").isNull(), F.lit("no_customer")),
         F.when(F.col("_unpriced"), F.lit("item_without_price")),
@@ -116,10 +115,11 @@ def order_number_max(orders: DataFrame) -> DataFrame:
     ).agg(F.max(F.substring_index(number, "-", -1).try_cast("bigint")).alias("last_seq"))
 
 
-def _last_numbers(orders: DataFrame, year: int) -> DataFrame:
-    """At most one row per prefix."""
+def last_numbers(orders: DataFrame, year: int) -> dict[str, int]:
+    """The highest sequence in use per prefix: at most one row each is fetched."""
     begins = [F.col("order_number").startswith(f"{p}-{year}-") for p in PREFIXES.values()]
-    return order_number_max(orders.where(reduce(or_, begins))).select("prefix", "last_seq")
+    found = order_number_max(orders.where(reduce(or_, begins)))
+    return {r["prefix"]: r["last_seq"] or 0 for r in found.collect()}
 
 
 def _prefix() -> Column:
@@ -130,7 +130,7 @@ def _prefix() -> Column:
     return chain
 
 
-def _with_numbers(accepted: DataFrame, orders: DataFrame, year: int) -> DataFrame:
+def _with_numbers(accepted: DataFrame, last: dict[str, int], year: int) -> DataFrame:
     """``order_number`` and ``_n``, the place in arrival order, for every accepted sale."""
     placed = dense_index(
         accepted.withColumn("prefix", _prefix()),
@@ -139,17 +139,12 @@ def _with_numbers(accepted: DataFrame, orders: DataFrame, year: int) -> DataFram
         within=["prefix"],
         within_name="_k",
     )
-    # One row per prefix: small enough for every task by construction.
-    last = F.broadcast(_last_numbers(orders, year))
-    sequence = F.coalesce("last_seq", F.lit(0)) + F.col("_k") + F.lit(1)
-    number = F.concat(
-        F.col("prefix"), F.lit(f"-{year}-"), F.format_string("%04d", sequence.cast("bigint"))
-    )
-    return (
-        placed.join(last, "prefix", "left")
-        .withColumn("order_number", number)
-        .select(*accepted.columns, "order_number", "_n")
-    )
+    used = F.lit(0)
+    for prefix, sequence in last.items():
+        used = F.when(F.col("prefix") == prefix, F.lit(sequence)).otherwise(used)
+    sequence = (used + F.col("_k") + F.lit(1)).cast("bigint")
+    number = F.concat(F.col("prefix"), F.lit(f"-{year}-"), F.format_string("%04d", sequence))
+    return placed.withColumn("order_number", number).select(*accepted.columns, "order_number", "_n")
 
 
 def intake_order_numbers(accepted: DataFrame, orders: DataFrame, processing_year: int) -> DataFrame:
@@ -159,35 +154,41 @@ def intake_order_numbers(accepted: DataFrame, orders: DataFrame, processing_year
     simply grow longer.
     """
     feed = accepted.select("feed_id", "arrival_seq", "channel")
-    return _with_numbers(feed, orders, processing_year).select("feed_id", "order_number")
-
+    last = last_numbers(orders, processing_year)
+    return _with_numbers(feed, last, processing_year).select("feed_id", "order_number")
 
-def intake_resolve_customers(accepted: DataFrame, customers: DataFrame) -> Customers:
-    """Match sales to customers by name (case and accents aside), creating the missing ones.
 
-    Of several customers of one name the lowest id is taken. A new customer is spelled as in
-    the first sale that names it, and ids follow the order of those first sales.
-    """
-    feed = accepted.select("feed_id", "arrival_seq", "customer", fold_key("customer").alias("_name"))
+def _customer_names(
+    accepted: DataFrame, customers: DataFrame, first_id: int
+) -> tuple[DataFrame, DataFrame]:
+    """Folded name -> customer id for known and new names, and the new customers."""
     known = customers.groupBy(fold_key("name").alias("_name")).agg(F.min("id").alias("customer_id"))
-    first = feed.groupBy("_name").agg(
-        F.min(F.struct("arrival_seq", "feed_id", "customer")).alias("_first")
-    )
-    unknown = (
-        first.where(F.col("_name").isNotNull())
-        .join(known, "_name", "left_anti")
-        .select("_name", "_first.*")
+    first = (
+        accepted.where(F.col("customer").isNotNull())
+        .groupBy(fold_key("customer").alias("_name"))
+        .agg(F.min(F.struct("arrival_seq", "feed_id", "customer")).alias("_first"))
     )
+    unknown = first.join(known, "_name", "left_anti").select("_name", "_first.*")
     created = dense_index(unknown, [F.col("arrival_seq"), F.col("feed_id")], "_n").withColumn(
-        "customer_id", F.col("_n") + F.lit(next_id(customers))
+        "customer_id", F.col("_n") + F.lit(first_id)
     )
-    names = known.unionByName(created.select("_name", "customer_id"))
-    return Customers(
-        feed.join(names, "_name").select("feed_id", "customer_id"),
+    return (
+        known.unionByName(created.select("_name", "customer_id")),
         created.select(F.col("customer_id").alias("id"), F.col("customer").alias("name")),
     )
 
 
+def intake_resolve_customers(accepted: DataFrame, customers: DataFrame) -> Customers:
+    """Match sales to customers by name (case and accents aside), creating the missing ones.
+
+    Of several customers of one name the lowest id is taken. A new customer is spelled as in
+    the first sale that names it, and ids follow the order of those first sales.
+    """
+    names, new = _customer_names(accepted, customers, next_id(customers))
+    feed = accepted.select("feed_id", fold_key("customer").alias("_name"))
+    return Customers(feed.join(names, "_name").select("feed_id", "customer_id"), new)
+
+
 def order_totals(items: DataFrame, key: str = "order_id") -> DataFrame:
     """Quantity times price summed per order, exactly."""
     return items.groupBy(F.col(key).alias("order_id")).agg(
@@ -199,17 +200,20 @@ def cash_only(name: str) -> Column:
     return F.when(F.col("payment_method") == CASH, F.col(name).cast("decimal(10,2)")).alias(name)
 
 
-def intake_payment_fields(orders_feed: DataFrame) -> DataFrame:
-    """Channel contacts, and cash amounts kept only for cash payments. '' counts as absent."""
-    return orders_feed.select(
-        "feed_id",
+def _payment_columns() -> list[Column]:
+    return [
         filled("whatsapp").alias("whatsapp_number"),
         filled("ifood").alias("ifood_order"),
         filled("attendant").alias("attendant"),
         filled("payment_method").alias("payment_method"),
         cash_only("amount_received"),
         cash_only("change_given"),
-    )
+    ]
+
+
+def intake_payment_fields(orders_feed: DataFrame) -> DataFrame:
+    """Channel contacts, and cash amounts kept only for cash payments. '' counts as absent."""
+    return orders_feed.select("feed_id", *_payment_columns())
 
 
 def _ledger_row(channel: str = "channel") -> list[Column]:
@@ -257,6 +261,28 @@ def apply_new(state: State, new: State) -> State:
     return {**state, **after, "products": take_off_stock(state["products"], new["products"])}
 
 
+class Counters(NamedTuple):
+    """Where ids and order numbers go on; all an intake needs to know of the growing tables."""
+
+    customer: int
+    order: int
+    item: int
+    entry: int
+    numbers: dict[str, int]  # prefix -> last sequence of the processing year
+
+
+def counters_of(state: State, processing_year: int) -> Counters:
+    """Read off the tables."""
+    items = state["order_items"]
+    return Counters(
+        next_id(state["customers"]),
+        next_id(state["orders"]),
+        next_id(items) if "id" in items.columns else 1,
+        next_id(state["financial_transactions"]),
+        last_numbers(state["orders"], processing_year),
+    )
+
+
 def order_intake(
     orders_feed: DataFrame,
     items_feed: DataFrame,
@@ -266,17 +292,23 @@ def order_intake(
     strict: bool = False,
     block_orders: int = BLOCK_ORDERS,
     walk_rows: int = WALK_ROWS,
+    counters: Counters | None = None,
 ) -> Intake:
     """Take in a whole batch: check, allocate stock, number, resolve customers, book.
 
-    ``status`` and payment method are stored as given.
+    ``status`` and payment method are stored as given. With ``counters`` given, orders, lines
+    and ledger on hand are not read at all.
     """
+    start = counters or counters_of(state, processing_year)
     checked = materialize(intake_validate(orders_feed, items_feed, state["products"]), "checked")
     valid = checked.where(F.col("reject_reason").isNull()).select("feed_id")
-    valid_orders = orders_feed.join(valid, "feed_id", "left_semi")
-    valid_items = items_feed.join(valid, "feed_id", "left_semi")
     allocation = allocate_stock(
-        valid_orders, valid_items, state["products"], strict, block_orders, walk_rows
+        orders_feed.join(valid, "feed_id", "left_semi"),
+        items_feed.join(valid, "feed_id", "left_semi"),
+        state["products"],
+        strict,
+        block_orders,
+        walk_rows,
     )
     taken = allocation.decisions.where("accepted").select("feed_id")
     refused = allocation.decisions.where(~F.col("accepted")).select(
@@ -284,22 +316,24 @@ def order_intake(
     )
     rejected = checked.where(F.col("reject_reason").isNotNull()).unionByName(refused)
 
-    feed = valid_orders.join(taken, "feed_id", "left_semi")
-    lines = valid_items.join(taken, "feed_id", "left_semi")
-    buyers = intake_resolve_customers(feed, state["customers"])
-    fields = intake_payment_fields(feed).drop("attendant")
+    feed = materialize(orders_feed.join(taken, "feed_id", "left_semi"), "taken")
+    lines = materialize(
+        items_feed.join(taken, "feed_id", "left_semi").select(
+            "feed_id", "line_no", "product_id", "quantity", line_price(items_feed).alias("unit_price")
+        ),
+        "lines",
+    )
+    names, new_customers = _customer_names(feed, state["customers"], start.customer)
     totals = order_totals(lines, "feed_id").withColumnRenamed("order_id", "feed_id")
-    first_order = next_id(state["orders"])
-    numbered = _with_numbers(feed, state["orders"], processing_year)
     accepted = materialize(
-        numbered.drop("payment_method", "amount_received", "change_given", "whatsapp", "ifood")
-        .join(buyers.links, "feed_id")
-        .join(fields, "feed_id")
+        _with_numbers(feed, start.numbers, processing_year)
+        .withColumn("_name", fold_key("customer"))
+        .join(names, "_name")
         .join(totals, "feed_id")
         .select(
             "feed_id",
             "_n",
-            (F.col("_n") + F.lit(first_order)).alias("id"),
+            (F.col("_n") + F.lit(start.order)).alias("id"),
             "order_number",
             "customer_id",
             F.col("total_amount").cast("decimal(10,2)").alias("total_amount"),
@@ -308,36 +342,25 @@ def order_intake(
             F.col("channel").alias("_channel"),
             F.lower("channel").alias("channel"),
             to_utc("order_date", source_tz).alias("order_date"),
-            "whatsapp_number",
-            "ifood_order",
-            filled("attendant").alias("attendant"),
-            "payment_method",
-            "amount_received",
-            "change_given",
+            *_payment_columns(),
         ),
         "accepted",
     )
     new_items = lines.join(accepted.select("feed_id", F.col("id").alias("order_id")), "feed_id").select(
-        "order_id",
-        F.col("line_no").alias("line_number"),
-        "product_id",
-        "quantity",
-        line_price(lines).alias("unit_price"),
+        "order_id", F.col("line_no").alias("line_number"), "product_id", "quantity", "unit_price"
     )
-    order_items = state["order_items"]
-    if "id" in order_items.columns:
-        by_line = [F.col(c) for c in ("order_id", "line_number", "product_id", "quantity")]
+    if "id" in state["order_items"].columns:
+        by_line = [F.col(c) for c in ("order_id", "line_number", "product_id", "quantity", "unit_price")]
         new_items = dense_index(new_items, by_line, "_i").withColumn(
-            "id", F.col("_i") + F.lit(next_id(order_items))
+            "id", F.col("_i") + F.lit(start.item)
         )
-    first_entry = next_id(state["financial_transactions"])
-    entries = accepted.select((F.col("_n") + F.lit(first_entry)).alias("id"), *_ledger_row("_channel"))
+    entry_id = (F.col("_n") + F.lit(start.entry)).alias("id")
     new = {
-        "customers": buyers.new,
+        "customers": new_customers,
         "products": quantities_sold(lines),
         "orders": accepted.drop("feed_id", "_n", "_channel"),
         "order_items": new_items,
-        "financial_transactions": entries,
+        "financial_transactions": accepted.select(entry_id, *_ledger_row("_channel")),
     }
     return Intake(
         accepted.drop("_n", "_channel"),

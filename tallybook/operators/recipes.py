@@ -143,6 +143,7 @@ def recipe_details(
         "ingredients",
         ["id", "product_id"],
         part_rows,
+        sizes=used,
     )
     element = (
         "struct<id:bigint,name:string,quantity:decimal(10,2),unit:string,notes:string,"

@@ -36,15 +36,13 @@ def _checked(
     incomplete = (
         product.isNull() | (product == 0) | F.col("quantity").isNull() | F.col("unit_price").isNull()
     )
-    wrong = F.when(incomplete, F.lit("invalid_item")).when(
-        F.col("_known").isNull(), F.lit("unknown_product")
-    )
+    # Line number and fault as one number, so that the first faulty line is a plain minimum.
+    fault = F.when(incomplete, 0).when(F.col("_known").isNull(), 1)
     lines = (
         item_changes.join(products, "product_id", "left")
-        .withColumn("_wrong", wrong)
         .groupBy("change_id")
         .agg(
-            F.min(F.when(F.col("_wrong").isNotNull(), F.struct("line_no", "_wrong"))).alias("_line"),
+            F.min(F.coalesce("line_no", F.lit(0)).cast("bigint") * 2 + fault).alias("_fault"),
             F.sum(F.col("quantity") * F.col("unit_price")).alias("_total"),
         )
     )
@@ -52,7 +50,8 @@ def _checked(
     reason = F.coalesce(
         F.when(blank("status"), F.lit("no_status")),
         F.when(~blank("order_date") & F.col("_utc").isNull(), F.lit("invalid_date")),
-        F.col("_line._wrong"),
+        F.when(F.pmod("_fault", F.lit(2)) == 0, F.lit("invalid_item")),
+        F.when(F.pmod("_fault", F.lit(2)) == 1, F.lit("unknown_product")),
         F.when(F.col("_exists").isNull(), F.lit("unknown_order")),
         F.when(F.abs("_total") > MAX_TOTAL, F.lit("total_too_large")),
     )

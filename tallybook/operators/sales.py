@@ -214,7 +214,7 @@ def _nested_lines(
     wanted = ["order_id", "product_id", "quantity", "unit_price"]
     split_by = [c for c in ("id", "line_number") if c in items.columns]
     lines = items.select(*wanted, *split_by).join(names, "product_id")
-    return nest(lines, "order_id", element, "items", [*wanted, *split_by], part_rows)
+    return nest(lines, "order_id", element, "items", [*wanted, *split_by], part_rows, sizes=items)
 
 
 def sales_documents(

@@ -2,7 +2,9 @@
 
 The tables on hand are a fixed base plus what each earlier batch added. A batch writes only its
 own new rows, in its own folder, and reads only folders of earlier batches; run again after a
-failure it finds the same tables and overwrites its folder with the same rows.
+failure it finds the same tables and overwrites its folder with the same rows. Where ids and
+order numbers go on is handed from batch to batch, so that orders, lines and ledger on hand are
+read once, at the first batch, however large they grow.
 """
 
 from __future__ import annotations
@@ -12,10 +14,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallybook.functions.rows import PART_ROWS, nest
 from tallybook.operators.allocation import BLOCK_ORDERS, WALK_ROWS
-from tallybook.operators.intake import State, apply_new, order_intake
+from tallybook.operators.intake import (
+    PREFIXES,
+    Counters,
+    Intake,
+    State,
+    apply_new,
+    counters_of,
+    last_numbers,
+    order_intake,
+)
 from tallybook.sources.scratch import materialize
 from tallybook.streaming.files import write_batch
 
+COUNTERS = "name string, year int, value bigint"
 LINE_FIELDS = ("line_no", "product_id", "quantity", "unit_price", "valor")
 
 
@@ -50,6 +62,36 @@ def current_state(base: State, root: str, batch_id: int) -> State:
     return apply_new(base, added)
 
 
+def _counters(base: State, root: str, batch_id: int, year: int) -> Counters:
+    """The counters the batch before left; the tables' own for the first one."""
+    if batch_id == 0:
+        return counters_of(base, year)
+    spark = base["products"].sparkSession
+    left = spark.read.schema(COUNTERS).parquet(f"{root}/counters/batch={batch_id - 1}").collect()
+    values = {r["name"]: r["value"] for r in left if r["year"] is None}
+    numbers = {r["name"]: r["value"] for r in left if r["year"] == year}
+    if not numbers:  # the first batch of another year
+        numbers = last_numbers(current_state(base, root, batch_id)["orders"], year)
+    return Counters(**values, numbers=numbers)
+
+
+def _write_counters(start: Counters, done: Intake, year: int, root: str, batch_id: int) -> None:
+    """What the next batch goes on from: a handful of rows."""
+    prefix = F.substring_index("order_number", "-", 1).alias("prefix")
+    added = {r["prefix"]: r["count"] for r in done.accepted.groupBy(prefix).count().collect()}
+    orders = sum(added.values())
+    numbers = {p: start.numbers.get(p, 0) + added.get(p, 0) for p in PREFIXES.values()}
+    left = [
+        ("customer", None, start.customer + done.new["customers"].count()),
+        ("order", None, start.order + orders),
+        ("item", None, start.item + done.new["order_items"].count()),
+        ("entry", None, start.entry + orders),
+        *[(prefix, year, number) for prefix, number in numbers.items()],
+    ]
+    spark = done.accepted.sparkSession
+    write_batch(spark.createDataFrame(left, COUNTERS).coalesce(1), f"{root}/counters", batch_id)
+
+
 def run_order_intake(
     documents: DataFrame,
     base: State,
@@ -67,6 +109,7 @@ def run_order_intake(
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         orders_feed, items_feed = flatten(materialize(batch, "sales"))
+        start = _counters(base, root, batch_id, processing_year)
         done = order_intake(
             orders_feed,
             items_feed,
@@ -75,11 +118,13 @@ def run_order_intake(
             source_tz,
             block_orders=block_orders,
             walk_rows=walk_rows,
+            counters=start,
         )
         for name, rows in done.new.items():
             write_batch(rows, f"{root}/{name}", batch_id)
         write_batch(done.accepted, f"{root}/accepted", batch_id)
         write_batch(done.rejected, f"{root}/rejected", batch_id)
+        _write_counters(start, done, processing_year, root, batch_id)
 
     return (
         documents.writeStream.option("checkpointLocation", checkpoint)
