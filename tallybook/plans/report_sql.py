@@ -233,6 +233,15 @@ LEFT JOIN bo_task_categories c ON c.id = t.category_id""",
     "tasks_search_total": with_tables(
         f"SELECT COUNT(*) AS total FROM bo_tasks WHERE {_OVERDUE_ERROR}", "bo_tasks"
     ),
+    "tasks_search_deep_page": with_tables(
+        """
+SELECT t.id, t.title, t.description, strftime(t.due_date, '%Y-%m-%dT%H:%M:%S.000Z') AS due_date, t.priority,
+  t.status, t.category_id, t.reminder_minutes, c.name AS category_name, c.color AS category_color
+FROM (SELECT * FROM bo_tasks ORDER BY due_date DESC, id DESC LIMIT 200 OFFSET 1000) t
+LEFT JOIN bo_task_categories c ON c.id = t.category_id""",
+        "bo_tasks",
+        "bo_task_categories",
+    ),
     "tasks_summary": with_tables(
         f"""
 SELECT COUNT(*) AS total, COUNT(CASE WHEN status = 'completed' THEN 1 END) AS completed,
@@ -249,6 +258,13 @@ SELECT CAST(i AS DOUBLE) AS total_income, CAST(e AS DOUBLE) AS total_expenses, C
     WHERE CAST(order_date AS DATE) {_IN_HALF}) AS total_revenue FROM l""",
         "bo_ledger",
     ),
+    "finance_summary_unbounded": with_tables(
+        f"""
+, l AS (SELECT {_INCOME} AS i, {_EXPENSE} AS e FROM bo_ledger)
+SELECT CAST(i AS DOUBLE) AS total_income, CAST(e AS DOUBLE) AS total_expenses, CAST(i - e AS DOUBLE) AS balance,
+  (SELECT CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) FROM bo_orders) AS total_revenue FROM l""",
+        "bo_ledger",
+    ),
     "cashflow_by_month": with_tables(
         f"""
 SELECT strftime(transaction_date, '%Y-%m') AS month_year, CAST({_INCOME} AS DOUBLE) AS total_income,
@@ -270,6 +286,13 @@ WHERE transaction_date BETWEEN DATE '{MONTH[0]}' AND DATE '{MONTH[1]}' AND type
 ORDER BY bo_ledger.amount DESC, id DESC""",
         "bo_ledger",
     ),
+    "transactions_search_category": with_tables(
+        f"""
+SELECT id, description, CAST(amount AS DOUBLE) AS amount, type, category,
+  strftime(transaction_date, '%Y-%m-%d') AS date FROM bo_ledger
+WHERE transaction_date >= DATE '{HALF_YEAR[0]}' AND category = 'impostos'""",
+        "bo_ledger",
+    ),
     "transaction_lookup": with_tables(
         """
 SELECT id, description, CAST(amount AS DOUBLE) AS amount, type, category,
@@ -282,6 +305,13 @@ WHERE id IN (SELECT 1000000000000 + order_id * 100 + line_number FROM bo_order_i
         f"""
 , o AS (SELECT CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS t FROM bo_oil_disposals
   WHERE MONTH(disposal_date) = MONTH({DAY}))
+SELECT t AS "totalOil", t * 1.5::DOUBLE AS "co2Saved", t * 25000 AS "waterSaved" FROM o""",
+        "bo_oil_disposals",
+    ),
+    "oil_impact_same_year": with_tables(
+        f"""
+, o AS (SELECT CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS t FROM bo_oil_disposals
+  WHERE MONTH(disposal_date) = MONTH({DAY}) AND YEAR(disposal_date) = YEAR({DAY}))
 SELECT t AS "totalOil", t * 1.5::DOUBLE AS "co2Saved", t * 25000 AS "waterSaved" FROM o""",
         "bo_oil_disposals",
     ),

@@ -99,14 +99,22 @@ QUERIES: dict[str, Query] = {
     "tasks_search_total": lambda b: tasks.tasks_search_total(
         b.tasks, TASKS_AS_OF, "ERROR", "overdue"
     ),
+    "tasks_search_deep_page": lambda b: tasks.tasks_search(
+        b.tasks, b.task_categories, TASKS_AS_OF, None, "all", "due_date_desc", 6, 200
+    ),
     "tasks_summary": lambda b: tasks.tasks_summary(b.tasks, TASKS_AS_OF),
     "finance_summary": lambda b: finance.finance_summary(b.ledger, b.orders, *HALF_YEAR),
+    "finance_summary_unbounded": lambda b: finance.finance_summary(b.ledger, b.orders),
     "cashflow_by_month": lambda b: finance.cashflow_by_month(b.ledger, ORDERS_AS_OF, 6),
     "category_distribution": lambda b: finance.category_distribution(b.ledger, *HALF_YEAR),
     "transactions_search": lambda b: finance.transactions_search(
         b.ledger, *MONTH, type="saida", order="valor-desc"
     ),
+    "transactions_search_category": lambda b: finance.transactions_search(
+        b.ledger, start=HALF_YEAR[0], category="impostos", order="data-asc"
+    ),
     "transaction_lookup": _transaction_lookup,
     "oil_impact": lambda b: oil.oil_impact(b.oil_disposals, ORDERS_AS_OF),
+    "oil_impact_same_year": lambda b: oil.oil_impact(b.oil_disposals, ORDERS_AS_OF, same_year=True),
     "recent_disposals": lambda b: oil.recent_disposals(b.oil_disposals),
 }

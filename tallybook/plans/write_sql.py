@@ -129,6 +129,31 @@ UNION ALL SELECT 'order_items', order_id FROM bo_order_items WHERE order_id IN (
         "bo_orders",
         "bo_order_items",
     ),
+    "delete_products": with_tables(
+        """
+, p AS (SELECT id FROM bo_products WHERE category <> 'PROMO')
+SELECT 'products' AS table_name, id AS key FROM p
+UNION ALL SELECT 'order_items', order_id FROM bo_order_items WHERE product_id IN (SELECT id FROM p)
+UNION ALL SELECT 'recipe_ingredients', id FROM bo_recipe_ingredients WHERE product_id IN (SELECT id FROM p)""",
+        "bo_products",
+        "bo_order_items",
+        "bo_recipe_ingredients",
+    ),
+    "insert_ledger_rows": with_tables(
+        """
+SELECT id, description, CAST(amount AS DOUBLE) AS amount, type, category, transaction_date FROM bo_ledger
+UNION ALL
+SELECT (SELECT MAX(id) FROM bo_ledger) + row_number() OVER (ORDER BY c_custkey), c_name, abs(c_acctbal),
+  CASE WHEN c_acctbal < 0 THEN 'saida' ELSE 'entrada' END, 'outros', DATE '1998-01-01'
+FROM customer WHERE c_mktsegment <> 'FURNITURE'""",
+        "bo_ledger",
+    ),
+    "mark_reminders_sent": with_tables(
+        """
+SELECT t.id, t.title, e.event_type = 'error' AS reminder_sent
+FROM bo_tasks t JOIN events e ON e.event_id = t.id""",
+        "bo_tasks",
+    ),
     "delete_set_null": with_tables(
         """
 SELECT t.* REPLACE (CASE WHEN category_id NOT IN

@@ -130,6 +130,46 @@ def _delete_rows(b: Bindings) -> DataFrame:
     )
 
 
+def _delete_products(b: Bindings) -> DataFrame:
+    """What is left of three tables when the promotional products go."""
+    left = changes.delete_rows(
+        {
+            "products": b.products,
+            "order_items": b.order_items,
+            "recipe_ingredients": b.recipe_ingredients,
+        },
+        "products",
+        b.products.where(F.col("category") == "PROMO"),
+    )
+    return (
+        _keys("products", left["products"])
+        .unionByName(_keys("order_items", left["order_items"], "order_id"))
+        .unionByName(_keys("recipe_ingredients", left["recipe_ingredients"]))
+    )
+
+
+def _insert_ledger_rows(b: Bindings) -> DataFrame:
+    """Every customer's balance as an opening entry; one segment has an unknown category."""
+    balance, segment = F.col("c_acctbal"), F.col("c_mktsegment")
+    entries = b.source("customer").select(
+        F.col("c_custkey").alias("seq"),
+        F.col("c_name").alias("description"),
+        F.abs(balance).alias("amount"),
+        F.when(balance < 0, "saida").otherwise("entrada").alias("type"),
+        F.when(segment == "FURNITURE", "salario").otherwise("outros").alias("category"),
+        F.lit("1998-01-01").cast("date").alias("transaction_date"),
+    )
+    done = changes.insert_rows(b.ledger, entries, "financial_transactions", ["seq"])
+    return _as_numbers(done.rows, "amount")
+
+
+def _mark_reminders_sent(b: Bindings) -> DataFrame:
+    """All tasks, flagged where the event behind them was an error."""
+    errors = b.source("events").where(F.col("event_type") == "error")
+    unsent = b.tasks.select("id", "title", F.lit(False).alias("reminder_sent"))
+    return changes.mark_reminders_sent(unsent, errors.select(F.col("event_id").alias("id")))
+
+
 def _delete_set_null(b: Bindings) -> DataFrame:
     gone = b.task_categories.where(F.col("name").isin("ASIA", "EUROPE"))
     return changes.delete_set_null(b.tasks, "category_id", gone)
@@ -278,7 +318,10 @@ QUERIES: dict[str, Query] = {
     "insert_rows_rejected": lambda b: _inserted(b).rejected.select("seq", "reject_reason"),
     "update_rows": _update_rows,
     "delete_rows": _delete_rows,
+    "delete_products": _delete_products,
     "delete_set_null": _delete_set_null,
+    "insert_ledger_rows": _insert_ledger_rows,
+    "mark_reminders_sent": _mark_reminders_sent,
     "replace_children": _replace_children,
     "intake_validate": _intake_validate,
     "intake_allocate_stock": lambda b: _allocation(b).decisions,
