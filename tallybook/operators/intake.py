@@ -115,11 +115,24 @@ def order_number_max(orders: DataFrame) -> DataFrame:
     ).agg(F.max(F.substring_index(number, "-", -1).try_cast("bigint")).alias("last_seq"))
 
 
-def last_numbers(orders: DataFrame, year: int) -> dict[str, int]:
-    """The highest sequence in use per prefix: at most one row each is fetched."""
+def _numbers_in_use(orders: DataFrame, year: int) -> DataFrame:
+    """(name, value): prefix and sequence of every order numbered in ``year``."""
     begins = [F.col("order_number").startswith(f"{p}-{year}-") for p in PREFIXES.values()]
-    found = order_number_max(orders.where(reduce(or_, begins)))
-    return {r["prefix"]: r["last_seq"] or 0 for r in found.collect()}
+    return orders.where(reduce(or_, begins)).select(
+        F.substring_index("order_number", "-", 1).alias("name"),
+        F.substring_index("order_number", "-", -1).try_cast("bigint").alias("value"),
+    )
+
+
+def _highest(*values: DataFrame) -> dict[str, int]:
+    """The highest value per name; the names are few and fixed, so few rows are fetched."""
+    found = reduce(DataFrame.unionByName, values).groupBy("name").agg(F.max("value").alias("value"))
+    return {r["name"]: r["value"] or 0 for r in found.collect()}
+
+
+def last_numbers(orders: DataFrame, year: int) -> dict[str, int]:
+    """The highest sequence in use per prefix."""
+    return _highest(_numbers_in_use(orders, year))
 
 
 def _prefix() -> Column:
@@ -271,15 +284,25 @@ class Counters(NamedTuple):
     numbers: dict[str, int]  # prefix -> last sequence of the processing year
 
 
+COUNTED = {
+    "customer": "customers",
+    "order": "orders",
+    "item": "order_items",
+    "entry": "financial_transactions",
+}
+
+
 def counters_of(state: State, processing_year: int) -> Counters:
-    """Read off the tables."""
-    items = state["order_items"]
+    """Read off the tables, in one job."""
+    ids = [
+        state[table].select(F.lit(name).alias("name"), F.col("id").alias("value"))
+        for name, table in COUNTED.items()
+        if "id" in state[table].columns
+    ]
+    highest = _highest(*ids, _numbers_in_use(state["orders"], processing_year))
     return Counters(
-        next_id(state["customers"]),
-        next_id(state["orders"]),
-        next_id(items) if "id" in items.columns else 1,
-        next_id(state["financial_transactions"]),
-        last_numbers(state["orders"], processing_year),
+        *[highest.pop(name, 0) + 1 for name in COUNTED],
+        numbers=highest,
     )
 
 

@@ -104,7 +104,7 @@ def run_order_intake(
 ) -> StreamingQuery:
     """Take in what has arrived, batch by batch, under ``root``.
 
-    Besides a folder per table there are ``accepted`` and ``rejected``.
+    Besides a folder per table there are ``accepted``, ``rejected`` and ``shortages``.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
@@ -124,6 +124,7 @@ def run_order_intake(
             write_batch(rows, f"{root}/{name}", batch_id)
         write_batch(done.accepted, f"{root}/accepted", batch_id)
         write_batch(done.rejected, f"{root}/rejected", batch_id)
+        write_batch(done.shortages, f"{root}/shortages", batch_id)
         _write_counters(start, done, processing_year, root, batch_id)
 
     return (
