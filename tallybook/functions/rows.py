@@ -179,12 +179,17 @@ def nest(
     big = counts.where(F.col("_n") > part_rows).select(
         key, F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts")
     )
-    spread = children.join(big, key, "left").withColumn(
-        "part",
-        F.when(F.col("_parts").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(*split_by), F.col("_parts")))
-        .cast("int"),
+    array = F.sort_array(F.collect_list(F.struct(*element))).alias(into)
+    usual = (
+        children.join(big, key, "left_anti").groupBy(key).agg(array).select(key, F.lit(0).alias("part"), into)
     )
-    return spread.groupBy(key, "part").agg(
-        F.sort_array(F.collect_list(F.struct(*element))).alias(into)
+    # Without the repartition the join's partitioning by key alone would do for the grouping,
+    # and all parts of a key would be built by one task.
+    oversized = (
+        children.join(big, key)
+        .withColumn("part", F.pmod(F.xxhash64(*split_by), F.col("_parts")).cast("int"))
+        .repartition(key, "part")
+        .groupBy(key, "part")
+        .agg(array)
     )
+    return usual.unionByName(oversized)

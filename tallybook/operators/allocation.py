@@ -127,10 +127,11 @@ def allocate_stock(
         .select("product_id", "stock")
     )
     need = F.sum("quantity") if strict else F.max("quantity")
+    # Lines shrink to one row per order and product before a best-seller's meet at its stock.
     all_rows = materialize(
-        lines.join(scarce, "product_id")
-        .groupBy("feed_id", "product_id", "stock")
+        lines.groupBy("feed_id", "product_id")
         .agg(F.sum("quantity").alias("demand"), need.cast("bigint").alias("need"))
+        .join(scarce, "product_id")
         .join(numbered, "feed_id")
         .select("seq", "feed_id", "product_id", "demand", "need", "stock"),
         "demand",

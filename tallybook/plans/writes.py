@@ -179,13 +179,13 @@ def _replace_children(b: Bindings) -> DataFrame:
     """The lines of every pending order merged to one per product."""
     pending = b.orders.where(F.col("status") == "pending").select("id")
     merged = (
-        b.order_items.join(pending.withColumnRenamed("id", "order_id"), "order_id", "left_semi")
-        .groupBy("order_id", "product_id")
+        b.order_items.groupBy("order_id", "product_id")
         .agg(
             F.min("line_number").alias("line_number"),
             F.sum("quantity").cast("int").alias("quantity"),
             F.max("unit_price").alias("unit_price"),
         )
+        .join(pending.withColumnRenamed("id", "order_id"), "order_id", "left_semi")
     )
     found = changes.replace_children(b.order_items, "order_id", pending, merged)
     return found.withColumn("unit_price", F.col("unit_price").cast("double"))
