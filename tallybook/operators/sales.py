@@ -98,8 +98,8 @@ def recent_orders(
 ) -> DataFrame:
     """One page of orders, newest first, with customer name and line count.
 
-    The page is cut before anything is joined; only its few ids meet the item lines, so the
-    lines are filtered by broadcast and not shuffled.
+    Every order has its customer, so the page can be cut before anything is joined; only its few
+    ids meet the item lines, which are filtered by broadcast and not shuffled.
     """
     newest = [F.desc("order_date"), F.desc("id")]
     wanted = paginate(

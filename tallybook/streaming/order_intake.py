@@ -34,7 +34,10 @@ LINE_FIELDS = ("line_no", "product_id", "quantity", "unit_price", "valor")
 def sale_feed_documents(
     orders_feed: DataFrame, items_feed: DataFrame, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """Sales as documents with nested lines; an oversized sale is several ``part`` documents."""
+    """Sales as documents with nested lines; an oversized sale is several ``part`` documents.
+
+    All parts of a sale have to arrive in the same batch.
+    """
     lines = nest(
         items_feed, "feed_id", [F.col(c) for c in LINE_FIELDS], "items", LINE_FIELDS, part_rows
     )
