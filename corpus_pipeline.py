@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallybook.llm import packing, pii, simhash_dedup, suffix_dedup, toxicity  # noqa: E402
-from tallybook.llm.common import held_out, prepare  # noqa: E402
+from tallybook.llm.common import held_out, prepare, quoted  # noqa: E402
 from tallybook.llm.queries import BYTE_VOCABULARY, table, vocabulary  # noqa: E402
 from tallybook.sources.scratch import materialize  # noqa: E402
 
@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose probability of being toxic is below one half."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels, ~held_out(F.col("doc_id")))
-    return toxicity.score_toxicity(docs, model).where(F.col("toxicity") < 0.5).select(*docs.columns)
+    return toxicity.score_toxicity(docs, model).where(F.col("toxicity") < 0.5).select(*map(quoted, docs.columns))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _with_text(docs: DataFrame, found: DataFrame, text) -> DataFrame:
     changed = found.withColumn("text", F.when(F.col("text").isNotNull(), text))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length("text").cast("long"))
-    return changed.select(*docs.columns)
+    return changed.select(*map(quoted, docs.columns))
 
 
 STAGES = [

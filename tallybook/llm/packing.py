@@ -118,6 +118,8 @@ def _place_examples(limits: Limits, window: int):
                 done.append((waiting[at][0], task << 33 | number, offset))
                 offset += int(waiting[at][1][0])
                 room = np.maximum(room - demands[at], 0)
+                if (demands[at] > 1).any():
+                    break
                 open_ = np.flatnonzero(~gone)
                 found = best_fitting(demands[open_], weights, room + 1e-9)
                 at = int(open_[found]) if found >= 0 else -1

@@ -76,7 +76,7 @@ def one_of_each(groups: DataFrame) -> DataFrame:
 
 
 def linked(prints: DataFrame, bits: int, bands: int, leaf: int, block: int) -> DataFrame:
-    """``node`` and ``root`` for every fingerprint that has a neighbour, over all links."""
+    """``node`` and ``root`` for every fingerprint linked to a smaller one, over all links."""
     nodes = materialize(prints.select("fp").distinct(), "nodes")
     forest = _plant(nodes, bits, bands, leaf)
     homes = nodes.mapInArrow(_visit(forest, {}, homes_only=True), "shard int, part int, asks boolean, fp long")
@@ -89,7 +89,7 @@ def linked(prints: DataFrame, bits: int, bands: int, leaf: int, block: int) -> D
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """Each node of an undirected graph with the smallest node it is connected to.
+    """Each node of an undirected graph with the smallest node it is connected to, if that is another.
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its
     smallest one, then every node hands its smaller neighbours to the smallest of them.

@@ -94,7 +94,7 @@ def fit_toxicity(
     each label, chosen by a hash of the id, and about ``chars_per_doc`` characters of the
     sentences of each, chosen by a hash, are gathered; these bounds concern training alone. Null labels are ignored and
     a document with several labels counts as toxic if one says so. Without documents of both
-    labels every text scores 0.
+    labels, or any word that tells them apart, every text scores 0.
     """
     prepare(docs.sparkSession)
     known = labels.where(learn & quoted(id_col).isNotNull() & quoted(label_col).isNotNull())
@@ -144,6 +144,8 @@ def _train(rows: list, landmarks: int, rounds: int, cost: float) -> ToxicityMode
     some = rng.choice(len(usual), min(len(usual), landmarks // 2), replace=False) if usual else []
     marks = [w for w in dict.fromkeys([*telling[: landmarks - len(some)], *[usual[i] for i in some]])]
 
+    if not telling:
+        return ToxicityModel(np.zeros(1 << 20, dtype=np.float32), 0.0, -50.0)
     features = [_features(np.array([BORDER, *w, BORDER], dtype=np.int32)) for w in marks]
     ids_of = {u: k for k, u in enumerate(sorted({u for f in features for u in f}))}
     matrix = np.zeros((len(ids_of) + 1, len(marks)), dtype=np.float32)
