@@ -9,7 +9,10 @@ from pathlib import Path
 
 import duckdb
 
-SOURCES = "region nation customer supplier part orders lineitem events".split()
+SOURCES = (
+    "region nation customer supplier part orders lineitem events "
+    "documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def _plain(value):
