@@ -105,7 +105,7 @@ class Coder:
                     self.automaton.add_word(string + end, (len(string + end), i))
         self.automaton.make_automaton()
         self.packed = {i: np.array([i], dtype="<u4").tobytes() for i in self.strings}
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         self.words = regex.compile(_WORDS.format(letters=r"\p{L}", digits=r"\p{N}"), regex.V1).findall
         self.plain_words = re.compile(_WORDS.format(letters=_LETTERS, digits=_DIGITS)).findall
         self.plain = re.compile("[\0-\x1b -\u024f]*").fullmatch
@@ -208,7 +208,7 @@ class Coder:
                 above_b, b, _ = half_b
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """One printable character for each byte: itself where it is printable, the next free one else."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     symbols, free = [], 256

@@ -9,6 +9,8 @@ of two, which need no padding. Tasks pack what they read, so nothing is shuffled
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallybook.llm.common import prepare, quoted, spread
+from tallybook.llm.bpe import byte_symbols
+from tallybook.llm.common import once, prepare, quoted, spread
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -158,7 +161,7 @@ def _pack_texts(shared, limits: Limits, end_id: int, window: int, keep_ids: bool
     full = limits.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value)
+        encode = once(f"encoder_{hashlib.md5(shared.value).hexdigest()}", lambda: _encoder(shared.value))
         end = np.array([end_id], dtype="<u4").tobytes()
         waiting: list[list] = []  # id, start, ids, tokens of the document
         rows_out: list[tuple] = []
@@ -228,30 +231,35 @@ def _pack_texts(shared, limits: Limits, end_id: int, window: int, keep_ids: bool
     return run
 
 
-# White space as the tokenizer's patterns have it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+# How a byte-level vocabulary of this kind splits text, and the longest word to split that way.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LONGEST = 1000
+# Below this character the two libraries have the same letters, numbers and white space.
+_COMMON = re.compile("[\0-\u024f]*").fullmatch
 
 
-def _encoder(vocabulary: bytes, held: int = 1 << 18):
+def _encoder(vocabulary: bytes):
     """A function from text to ids as little-endian 32-bit integers.
 
-    Tokens of this kind of vocabulary never reach from a character that is no space into a space,
-    so a text is encoded in chunks of spaces and what follows them; a bounded number of chunks is remembered.
+    Ids are those of the tokenizers library. Usual texts go through tiktoken with the same file's
+    vocabulary, which gives the same ids faster; texts with other characters, special tokens or
+    very long words go through the library itself.
     """
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary.decode())
-    chunks = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-
-    class Known(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            ids = tokenizer.encode(chunk, add_special_tokens=False).ids
-            found = np.array(ids, dtype="<u4").tobytes()
-            if len(self) >= held:
-                self.clear()
-            if len(chunk) <= 64:
-                self[chunk] = found
-            return found
-
-    known = Known()
-    return lambda text: b"".join(map(known.__getitem__, chunks(text)))
+    content = json.loads(vocabulary)
+    special = [t["content"] for t in content["added_tokens"]]
+    byte_of = {symbol: byte for byte, symbol in byte_symbols().items()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in content["model"]["vocab"].items()}
+    usual = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> bytes:
+        if _COMMON(text) and not any(s in text for s in special) and max(map(len, text.split()), default=0) <= _LONGEST:
+            ids = usual.encode_ordinary(text)
+        else:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    return encode

@@ -222,6 +222,17 @@ def test_bpe_of_odd_characters():
         assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_packing_encodes_as_the_library():
+    vocabulary = queries.vocabulary(queries.BYTE_VOCABULARY)
+    library, encode = Tokenizer.from_str(vocabulary.decode()), packing._encoder(vocabulary)
+    rng = np.random.default_rng(4)
+    pool = list("abcdefgtheing' ABC\u00c9\u00e9\u00df'!?.,;    \n\t\r\x1c\x85\xa0\u2003018\xb2\xbd\xaa\u65e5\U0001f642\x00\x7f") + ["<|endoftext|>", "'s", "'LL"]
+    texts = ["".join(rng.choice(pool[:-5] if k % 2 else pool, rng.integers(0, 30))) for k in range(3000)]
+    for text in [*texts, "a" * 5000, " " * 3000, "", "x" * 900 + "!" * 900]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == ids, text
+
+
 # URL rules
 
 
