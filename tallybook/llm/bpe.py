@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
 
-from tallybook.llm.common import once, prepare, quoted, rest, spread, unpacked
+from tallybook.llm.common import carried, once, prepare, passed, passed_schema, restored, quoted, spread
 
 RESULTS = ["ids", "decoded"]
 
@@ -34,7 +33,7 @@ _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
 def encode_texts(
-    docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
 ) -> DataFrame:
     """The columns of ``docs`` with ``ids`` and ``decoded``.
 
@@ -42,26 +41,23 @@ def encode_texts(
     little-endian unsigned 32-bit integers) equal what the tokenizers library gives without adding
     special tokens; strings of special tokens in a text become their ids. ``decoded`` is the text
     of the ids, special tokens kept. A null text is empty. Repeated rows each come out; input
-    columns of these names are replaced.
+    columns of these names are replaced, and without ``keep_text`` the text is left out.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    texts = docs.select(
-        quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"), rest(docs, RESULTS).alias("rest")
-    )
+    texts = carried(docs, id_col, text_col, RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = once(f"bpe_{hashlib.md5(shared.value).hexdigest()}", lambda: Coder(shared.value))
         for rows in batches:
             ids, decoded = zip(*[coder.both(t or "") for t in rows.column("text").to_pylist()] or [((), ())])
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rest"), pa.array(ids[: len(rows)], pa.binary()), pa.array(decoded[: len(rows)], pa.string())],
-                names=["rest", "ids", "decoded"],
+            yield passed(
+                rows, keep_text, ids=pa.array(ids[: len(rows)], pa.binary()), decoded=pa.array(decoded[: len(rows)], pa.string())
             )
 
-    schema = StructType([texts.schema["rest"], *StructType.fromDDL("ids binary, decoded string")])
+    schema = passed_schema(texts, keep_text, "ids binary, decoded string")
     found = spread(texts, F.col("id"), F.col("text")).select("text", "rest").mapInArrow(run, schema)
-    return found.select(*unpacked(docs, RESULTS), *RESULTS)
+    return found.select(*restored(docs, text_col, RESULTS, keep_text))
 
 
 class Coder:

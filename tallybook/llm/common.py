@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallybook.session import configure
 
@@ -54,14 +55,38 @@ def quoted(name: str) -> Column:
 def rest(df: DataFrame, taken: Iterable[str]) -> Column:
     """The other columns as one struct, so that no name can clash on the way through an operator."""
     kept = others(df, taken)
-    return F.struct(*[quoted(n) for n in kept]) if kept else F.struct(F.lit(None).alias("_"))
+    return F.struct(*[quoted(n).alias(n) for n in kept]) if kept else F.struct(F.lit(None).alias("_"))
 
 
-def unpacked(df: DataFrame, taken: Iterable[str], struct: str = "rest") -> list[Column]:
-    """The columns ``rest`` put away, as they came."""
-    return [
-        F.col(struct).getField(n).alias(n) for n in others(df, taken)
-    ]
+def carried(docs: DataFrame, id_col: str, text_col: str, results: Iterable[str]) -> DataFrame:
+    """``id``, ``text`` and all other columns as ``rest``; the text travels once."""
+    return docs.select(
+        quoted(id_col).alias("id"),
+        quoted(text_col).cast("string").alias("text"),
+        rest(docs, [*results, text_col]).alias("rest"),
+    )
+
+
+def passed(rows: pa.RecordBatch, keep_text: bool, **results: pa.Array) -> pa.RecordBatch:
+    """A batch of carried columns with results added."""
+    columns = {"rest": rows.column("rest")} | ({"text": rows.column("text")} if keep_text else {}) | results
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def passed_schema(texts: DataFrame, keep_text: bool, results: str) -> StructType:
+    own = [texts.schema["rest"], *([texts.schema["text"]] if keep_text else [])]
+    return StructType([*own, *StructType.fromDDL(results)])
+
+
+def restored(docs: DataFrame, text_col: str, results: Sequence[str], keep_text: bool = True) -> list[Column]:
+    """The columns of ``docs`` as they came, and the results; without ``keep_text`` no text."""
+    columns = []
+    for name in others(docs, results):
+        if name.lower() != text_col.lower():
+            columns.append(F.col("rest").getField(name).alias(name))
+        elif keep_text:
+            columns.append(F.col("text").alias(name))
+    return [*columns, *[F.col(r) for r in results]]
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

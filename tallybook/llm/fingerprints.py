@@ -15,9 +15,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
 
-from tallybook.llm.common import once, prepare, quoted, rest, spread, unpacked
+from tallybook.llm.common import carried, once, passed, passed_schema, prepare, quoted, restored, spread
 
 RESULTS = ["sketch", "n_shingles"]
 
@@ -40,20 +39,17 @@ def fingerprint_documents(
     columns of these names are replaced.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(
-        quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"), rest(docs, RESULTS).alias("rest")
-    )
+    texts = carried(docs, id_col, text_col, RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = sketch_texts([(t.as_py() or "").encode() for t in rows.column("text")], k, shingle)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rest"), pa.array(found, pa.list_(pa.int64()))], names=["rest", "sketch"]
-            )
+            yield passed(rows, True, sketch=pa.array(found, pa.list_(pa.int64())))
 
-    schema = StructType([texts.schema["rest"], *StructType.fromDDL("sketch array<long>")])
+    schema = passed_schema(texts, True, "sketch array<long>")
     found = spread(texts, F.col("id"), F.col("text")).select("text", "rest").mapInArrow(run, schema)
-    return found.select(*unpacked(docs, RESULTS), "sketch", distinct_shingles(F.col("sketch"), k).alias("n_shingles"))
+    found = found.withColumn("n_shingles", distinct_shingles(F.col("sketch"), k))
+    return found.select(*restored(docs, text_col, RESULTS))
 
 
 def merge_sketches(parts: DataFrame, keys: list[str], k: int, sketch: str = "sketch") -> DataFrame:

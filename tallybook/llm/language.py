@@ -14,9 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
-from tallybook.llm.common import batch, once, prepare, quoted, rest, spread, unpacked
+from tallybook.llm.common import carried, batch, once, prepare, passed, passed_schema, restored, quoted, spread
 
 RESULTS = ["lang_pred", "score", "rejected"]
 UNKNOWN = "und"
@@ -94,20 +93,18 @@ def fit_languages(
 
 
 def identify_languages(
-    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
 ) -> DataFrame:
     """The columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
 
     ``score`` is the cosine to the nearest centroid, ``rejected`` tells that it is below that
     centroid's limit. Whole texts count. Null texts and texts without a letter are ``und`` with
     score 0 and rejected. Ties go to the language first by name. Repeated rows each come out; input
-    columns of the result's names are replaced.
+    columns of the result's names are replaced, and without ``keep_text`` the text is left out.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(
-        quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"), rest(docs, RESULTS).alias("rest")
-    )
+    texts = carried(docs, id_col, text_col, RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -125,14 +122,12 @@ def identify_languages(
                 languages.append(language)
                 scores.append(score)
                 far.append(bool(rejected))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rest"), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())],
-                names=["rest", *RESULTS],
-            )
+            found = pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())
+            yield passed(rows, keep_text, **dict(zip(RESULTS, found)))
 
-    schema = StructType([texts.schema["rest"], *StructType.fromDDL("lang_pred string, score double, rejected boolean")])
+    schema = passed_schema(texts, keep_text, "lang_pred string, score double, rejected boolean")
     found = spread(texts, F.col("id"), F.col("text")).select("text", "rest").mapInArrow(run, schema)
-    return found.select(*unpacked(docs, RESULTS), *RESULTS)
+    return found.select(*restored(docs, text_col, RESULTS, keep_text))
 
 
 def has_letter(text: str) -> bool:

@@ -12,9 +12,8 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
 
-from tallybook.llm.common import once, prepare, quoted, rest, spread, unpacked
+from tallybook.llm.common import carried, once, prepare, passed, passed_schema, restored, quoted, spread
 
 RESULTS = ["spans", "masked"]
 # The first four are the base kinds; their order settles ties.
@@ -30,7 +29,9 @@ _SCHEMES = ("http", "https", "ftp")
 _CUES = {"iban": "iban", "ssn": "ssn", "account": "account", "acct": "account", "konto": "account"}
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
+) -> DataFrame:
     """The columns of ``docs`` with ``spans`` and ``masked``.
 
     ``spans`` are structs of ``kind``, ``start`` and ``end`` in code points, by start and then by
@@ -44,12 +45,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digits.
 
     A null text has no spans and stays null when masked. Repeated rows each come out; input
-    columns of the result's names are replaced.
+    columns of the result's names are replaced, and without ``keep_text`` the text is left out.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(
-        quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"), rest(docs, RESULTS).alias("rest")
-    )
+    texts = carried(docs, id_col, text_col, RESULTS)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,16 +58,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = [spans_of(t or "", anchors) for t in texts]
             shown = [[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in found]
             covered = [t if t is None else mask(t, spans) for t, spans in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rest"), pa.array(shown, kind), pa.array(covered, pa.string())],
-                names=["rest", "spans", "masked"],
-            )
-
-    schema = StructType(
-        [texts.schema["rest"], *StructType.fromDDL("spans array<struct<kind string, start int, end int>>, masked string")]
-    )
+            yield passed(rows, keep_text, spans=pa.array(shown, kind), masked=pa.array(covered, pa.string()))
+
+    schema = passed_schema(texts, keep_text, "spans array<struct<kind string, start int, end int>>, masked string")
     found = spread(texts, F.col("id"), F.col("text")).select("text", "rest").mapInArrow(run, schema)
-    return found.select(*unpacked(docs, RESULTS), *RESULTS)
+    return found.select(*restored(docs, text_col, RESULTS, keep_text))
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:

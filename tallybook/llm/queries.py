@@ -56,7 +56,7 @@ def vocabulary(name: str) -> bytes:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    return toxicity.score_toxicity(docs, model).select(
+    return toxicity.score_toxicity(docs, model, keep_text=False).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("toxicity").alias("score"),
@@ -66,7 +66,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select(
+    return suffix_dedup.remove_repeats(docs, keep_text=False).select(
         "doc_id",
         "n_bytes",
         "n_removed",
@@ -77,7 +77,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str = WORD_VOCABULARY) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_texts(docs, vocabulary(path)).select(
+    return bpe.encode_texts(docs, vocabulary(path), keep_text=False).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -128,7 +128,7 @@ def op7_packing(spark: SparkSession, sf_dir: str, path: str = BYTE_VOCABULARY) -
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit_languages(docs, ~held_out(F.col("doc_id")))
-    return language.identify_languages(docs.select("doc_id", "text"), model).select(
+    return language.identify_languages(docs.select("doc_id", "text"), model, keep_text=False).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
     )
 
@@ -144,7 +144,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = pii.KINDS[:4]
     kinds = F.transform(spans, lambda x: x["kind"])
     counts = [(F.size(spans) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in base]
-    return pii.find_personal_data(docs).select(
+    return pii.find_personal_data(docs, keep_text=False).select(
         "doc_id",
         *counts,
         F.sha2(_listed(F.filter(spans, lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),

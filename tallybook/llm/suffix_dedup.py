@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
 
-from tallybook.llm.common import batch, once, prepare, quoted, rest, spread, unpacked, utf8
+from tallybook.llm.common import batch, once, passed, passed_schema, prepare, quoted, rest, restored, spread, utf8
 from tallybook.llm.suffix_array import permuted_common_prefixes, suffix_array
 from tallybook.sources.scratch import materialize
 
@@ -59,6 +58,7 @@ def remove_repeats(
     sample_docs: int = 4096,
     hot_anchors: int = 4096,
     as_text: bool = False,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Drop every byte covered by a ``length``-byte string that also starts earlier.
 
@@ -66,7 +66,8 @@ def remove_repeats(
     the input, overlaps count, and matches never cross documents. Returns the columns of ``docs``
     with ``n_bytes`` and ``n_removed`` (long), ``removed`` (maximal runs as structs of ``start``
     and ``end``, in bytes) and ``kept`` (the remaining bytes, or with ``as_text`` a string without the
-    characters that were cut in two); an input column of such a name is replaced.
+    characters that were cut in two); an input column of such a name is replaced, and without
+    ``keep_text`` the text is left out.
 
     Null and short texts lose nothing; a null text counts as empty. Rows without an id come after
     all others. Rows of one id and different texts are ordered by a hash of the text; rows equal
@@ -108,7 +109,7 @@ def remove_repeats(
         F.coalesce(quoted(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"),
         F.xxhash64(quoted(text_col)).alias("h"),
         quoted(text_col).cast("string").alias("text"),
-        rest(docs, RESULTS).alias("rest"),
+        rest(docs, [*RESULTS, text_col]).alias("rest"),
     )
     both = whole.select("d", "h", F.lit(1).alias("kind"), "text", "rest", F.lit(0).alias("l"), F.lit(0).alias("n"))
     both = both.unionByName(
@@ -118,13 +119,12 @@ def remove_repeats(
         )
     )
     dealt = both.repartition("d", "h").sortWithinPartitions("d", "h", "kind", "l")
-    result = StructType(
-        [whole.schema["rest"], *StructType.fromDDL(
-            "n_bytes long, n_removed long, removed array<struct<start int, end int>>, kept " + ("string" if as_text else "binary")
-        )]
+    kept = "string" if as_text else "binary"
+    result = passed_schema(
+        whole, keep_text, f"n_bytes long, n_removed long, removed array<struct<start int, end int>>, kept {kept}"
     )
-    cut = dealt.select("d", "h", "kind", "text", "l", "n", "rest").mapInArrow(_cut_texts(as_text), result)
-    return cut.select(*unpacked(docs, RESULTS), *RESULTS)
+    cut = dealt.select("d", "h", "kind", "text", "l", "n", "rest").mapInArrow(_cut_texts(as_text, keep_text), result)
+    return cut.select(*restored(docs, text_col, RESULTS, keep_text))
 
 
 def _settle(anchors: DataFrame, length: int) -> DataFrame:
@@ -480,7 +480,7 @@ def _repeats_in_shard(places: list[tuple], pieces: list[bytes], length: int):
     return d, h, l, np.full(len(d), length)
 
 
-def _cut_texts(as_text: bool):
+def _cut_texts(as_text: bool, keep_text: bool):
     """Task function over texts behind the spans found in them: what remains, and the runs that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,16 +509,14 @@ def _cut_texts(as_text: bool):
                 left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if spans else text
                 kept.append(left.decode(errors="ignore") if as_text else left)
             if len(chosen):
-                own = rows.column("rest").take(pa.array(chosen))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        own,
-                        pa.array(sizes, pa.int64()),
-                        pa.array(removed, pa.int64()),
-                        pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        pa.array(kept, pa.string() if as_text else pa.binary()),
-                    ],
-                    names=["rest", "n_bytes", "n_removed", "removed", "kept"],
+                spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                yield passed(
+                    rows.select(["rest", "text"]).take(pa.array(chosen)),
+                    keep_text,
+                    n_bytes=pa.array(sizes, pa.int64()),
+                    n_removed=pa.array(removed, pa.int64()),
+                    removed=pa.array(runs, spans_type),
+                    kept=pa.array(kept, pa.string() if as_text else pa.binary()),
                 )
 
     return run

@@ -21,9 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
-from tallybook.llm.common import once, prepare, quoted, rest, spread, unpacked
+from tallybook.llm.common import carried, once, prepare, passed, passed_schema, restored, quoted, spread
 
 RESULTS = ["toxicity"]
 
@@ -49,30 +48,28 @@ class ToxicityModel:
 
 
 def score_toxicity(
-    docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
 ) -> DataFrame:
     """The columns of ``docs`` with ``toxicity``, the probability (0 to 1) that a text is toxic.
 
     The best window of the whole text decides. Null and empty texts get the score of a text
     without any shared sequence. Repeated rows each come out; an input column of that name is
-    replaced.
+    replaced, and without ``keep_text`` the text is left out.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(
-        quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"), rest(docs, RESULTS).alias("rest")
-    )
+    texts = carried(docs, id_col, text_col, RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for rows in batches:
             best = _best_windows([t or "" for t in rows.column("text").to_pylist()], known.weights)[0]
             scores = 1 / (1 + np.exp(-np.clip(known.slope * best + known.offset, -50, 50)))
-            yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array(scores, pa.float64())], names=["rest", "toxicity"])
+            yield passed(rows, keep_text, toxicity=pa.array(scores, pa.float64()))
 
-    schema = StructType([texts.schema["rest"], *StructType.fromDDL("toxicity double")])
+    schema = passed_schema(texts, keep_text, "toxicity double")
     found = spread(texts, F.col("id"), F.col("text")).select("text", "rest").mapInArrow(run, schema)
-    return found.select(*unpacked(docs, RESULTS), *RESULTS)
+    return found.select(*restored(docs, text_col, RESULTS, keep_text))
 
 
 def fit_toxicity(
@@ -82,7 +79,7 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    docs_per_class: int = 1500,
+    docs_per_class: int = 1200,
     chars_per_doc: int = 8000,
     landmarks: int = 320,
     rounds: int = 3,

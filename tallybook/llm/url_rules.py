@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tallybook.llm.common import prepare, quoted, rest, unpacked
+from tallybook.llm.common import others, prepare, quoted, rest
 
 RESULTS = ["host", "path", "rule", "verdict"]
 
@@ -93,7 +93,8 @@ def judge_urls(
     dealt = asking.unionByName(reaching).repartition("part").sortWithinPartitions("part", "key", "kind", "path")
     own = StructType.fromDDL("host string, path string, rule string, verdict string")
     judged = dealt.mapInArrow(_sweep(default), StructType([keyed.schema["rest"], *own]))
-    return judged.select(*unpacked(pages, RESULTS), *RESULTS)
+    kept = [F.col("rest").getField(n).alias(n) for n in others(pages, RESULTS)]
+    return judged.select(*kept, *RESULTS)
 
 
 def _with_part(df: DataFrame) -> StructType:
