@@ -8,30 +8,24 @@ bounds of the stock left at that order's turn:
 * ``most``  = stock − what earlier *taken* orders use
 * ``least`` = ``most`` − what earlier *open* orders might use
 
-An order whose lines all fit into ``least`` is taken, one with a line above ``most`` is
-refused. The earliest open order has equal bounds, so each round settles at least one; in
-practice a few rounds settle nearly all. What is left once few rows are open is settled by
-walking them in order.
+An order with a line above ``most`` is refused, and what it asked for no longer counts against
+later ones in the same round; an order whose lines all fit into ``least`` is taken. The earliest
+open order has equal bounds, so each round settles at least one; in practice a few rounds settle
+all. A round writes one table: the open rows with their bounds and verdicts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
-from operator import itemgetter
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallybook.functions.rows import dense_index, sum_before
 from tallybook.sources.scratch import materialize
 
 # Orders per block of a running sum: what one task sums of one product.
 BLOCK_ORDERS = 100_000
-# Open rows that may be walked in one task (a few MB); more than that get another round.
-WALK_ROWS = 100_000
 
 
 class Allocation(NamedTuple):
@@ -39,61 +33,27 @@ class Allocation(NamedTuple):
     shortages: DataFrame  # feed_id, product_id, product, available, requested
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Settle the last open orders one by one; the caller has checked how few rows there are."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    used: dict[int, int] = {}
-    seqs, verdicts = [], []
-    lines = rows[["seq", "product_id", "demand", "need", "most"]].itertuples(index=False, name=None)
-    for seq, order in groupby(lines, key=itemgetter(0)):
-        order = list(order)
-        fits = all(need <= most - used.get(product, 0) for _, product, _, need, most in order)
-        if fits:
-            for _, product, demand, _, _ in order:
-                used[product] = used.get(product, 0) + demand
-        seqs.append(seq)
-        verdicts.append(fits)
-    yield pd.DataFrame({"seq": seqs, "accepted": verdicts})
-
-
-def _bounds(rows: DataFrame, settled: DataFrame | None, block_orders: int) -> DataFrame:
-    """Open rows with the bounds of this round.
+def _round(rows: DataFrame, block_orders: int) -> DataFrame:
+    """Open rows with ``most`` brought up to date, and the verdicts this round comes to.
 
     What the last round took is deducted from ``most`` of the later rows of its products, once;
     after that neither its rows nor those it refused are needed any more.
     """
-    if settled is None:
-        current = rows.withColumn("accepted", F.lit(None).cast("boolean"))
-    else:
-        current = rows.join(settled, "seq", "left")
-    current = current.where(F.col("accepted").isNull() | F.col("accepted")).select(
-        *rows.columns,
-        F.when(F.col("accepted"), F.col("demand")).otherwise(0).alias("used"),
-        F.when(F.col("accepted"), 0).otherwise(F.col("demand")).alias("wanted"),
-    )
-    bounded = sum_before(current, "product_id", "seq", ["used", "wanted"], block_orders)
-    most = F.col("most") - F.col("used_before")
-    return bounded.where(F.col("wanted") > 0).select(
-        "seq",
-        "product_id",
-        "demand",
-        "need",
-        most.alias("most"),
-        (most - F.col("wanted_before")).alias("least"),
-    )
-
-
-def _settle(rows: DataFrame) -> DataFrame:
-    """Orders the bounds decide: (seq, accepted)."""
-    return (
-        rows.groupBy("seq")
-        .agg(
-            F.min(F.col("need") <= F.col("least")).alias("accepted"),
-            F.max(F.col("need") > F.col("most")).alias("_fails"),
-        )
-        .where(F.col("accepted") | F.col("_fails"))
-        .select("seq", "accepted")
+    order = Window.partitionBy("seq")
+    taken = F.coalesce("accepted", F.lit(False))
+    current = rows.where(F.col("accepted").isNull() | taken)
+    current = current.withColumn("used", F.when(taken, F.col("demand")).otherwise(0))
+    open_rows = (
+        sum_before(current, "product_id", "seq", ["used"], block_orders)
+        .where(F.col("accepted").isNull())
+        .withColumn("most", F.col("most") - F.col("used_before"))
+        .withColumn("_fails", F.max(F.col("need") > F.col("most")).over(order))
+        .withColumn("wanted", F.when(F.col("_fails"), 0).otherwise(F.col("demand")))
     )
+    bounded = sum_before(open_rows, "product_id", "seq", ["wanted"], block_orders)
+    fits = F.min(F.col("need") <= F.col("most") - F.col("wanted_before")).over(order)
+    verdict = F.when(F.col("_fails"), F.lit(False)).when(fits, F.lit(True))
+    return bounded.select("seq", "product_id", "demand", "need", "most", verdict.alias("accepted"))
 
 
 def allocate_stock(
@@ -102,7 +62,6 @@ def allocate_stock(
     products: DataFrame,
     strict: bool = False,
     block_orders: int = BLOCK_ORDERS,
-    walk_rows: int = WALK_ROWS,
 ) -> Allocation:
     """Settle a batch. ``orders``: feed_id, arrival_seq; ``items``: feed_id, product_id, quantity.
 
@@ -137,51 +96,54 @@ def allocate_stock(
         "demand",
     )
     rows = all_rows.withColumnRenamed("stock", "most").drop("feed_id")
-    settled_rounds: list[DataFrame] = []
+    rows = rows.withColumn("accepted", F.lit(None).cast("boolean"))
+    rounds: list[DataFrame] = []
     while True:
-        last = settled_rounds[-1] if settled_rounds else None
-        bounded = materialize(_bounds(rows, last, block_orders), "open")
-        rows = bounded.drop("least")
-        left = bounded.count()
-        if left == 0:
-            break
-        if settled_rounds and left <= walk_rows:
-            walked = rows.coalesce(1).mapInPandas(_walk, "seq bigint, accepted boolean")
-            settled_rounds.append(materialize(walked, "settled"))
+        rows = materialize(_round(rows, block_orders), "round")
+        rounds.append(rows.where(F.col("accepted").isNotNull()).select("seq", "accepted").distinct())
+        if rows.where(F.col("accepted").isNull()).isEmpty():
             break
-        settled_rounds.append(materialize(_settle(bounded), "settled"))
-    verdicts = numbered.withColumn("accepted", F.lit(True))
-    if settled_rounds:
-        settled = reduce(DataFrame.unionByName, settled_rounds)
-        verdicts = materialize(
-            numbered.join(settled, "seq", "left").select(
-                "feed_id", "seq", F.coalesce("accepted", F.lit(True)).alias("accepted")
-            ),
-            "verdicts",
-        )
+    settled = reduce(DataFrame.unionByName, rounds)
+    verdicts = materialize(
+        numbered.join(settled, "seq", "left").select(
+            "feed_id", "seq", F.coalesce("accepted", F.lit(True)).alias("accepted")
+        ),
+        "verdicts",
+    )
     return Allocation(
         verdicts.select("feed_id", "accepted"),
-        _shortages(all_rows, verdicts, items, products, block_orders),
+        _shortages(all_rows, verdicts, items, products, strict, block_orders),
     )
 
 
 def _shortages(
-    rows: DataFrame, verdicts: DataFrame, items: DataFrame, products: DataFrame, block_orders: int
+    rows: DataFrame,
+    verdicts: DataFrame,
+    items: DataFrame,
+    products: DataFrame,
+    strict: bool,
+    block_orders: int,
 ) -> DataFrame:
-    """Lines of refused orders that asked for more than was left at their turn."""
+    """Lines of refused orders that asked for more than was left at their turn.
+
+    With ``strict``, an order's lines of one product are one request.
+    """
     judged = rows.join(verdicts.select("seq", "accepted"), "seq").withColumn(
         "used", F.when(F.col("accepted"), F.col("demand")).otherwise(0)
     )
     at_turn = (
         sum_before(judged, "product_id", "seq", ["used"], block_orders)
         .where(~F.col("accepted"))
-        .select("feed_id", "product_id", (F.col("stock") - F.col("used_before")).alias("available"))
+        .select("feed_id", "product_id", "need", (F.col("stock") - F.col("used_before")).alias("available"))
     )
+    if strict:
+        asked = at_turn.withColumnRenamed("need", "requested")
+    else:
+        lines = items.select("feed_id", "product_id", F.col("quantity").alias("requested"))
+        asked = lines.join(at_turn.drop("need"), ["feed_id", "product_id"])
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     return (
-        items.select("feed_id", "product_id", F.col("quantity").alias("requested"))
-        .join(at_turn, ["feed_id", "product_id"])
-        .where(F.col("requested") > F.col("available"))
+        asked.where(F.col("requested") > F.col("available"))
         .join(names, "product_id")
         .select("feed_id", "product_id", "product", "available", "requested")
     )

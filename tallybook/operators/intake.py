@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.functions.rows import dense_index
 from tallybook.functions.text import fold_key
-from tallybook.operators.allocation import BLOCK_ORDERS, WALK_ROWS, allocate_stock
+from tallybook.operators.allocation import BLOCK_ORDERS, allocate_stock
 from tallybook.operators.changes import next_id
 from tallybook.schemas import CHANNELS
 from tallybook.sources.scratch import materialize
@@ -314,7 +314,6 @@ def order_intake(
     source_tz: str = "UTC",
     strict: bool = False,
     block_orders: int = BLOCK_ORDERS,
-    walk_rows: int = WALK_ROWS,
     counters: Counters | None = None,
 ) -> Intake:
     """Take in a whole batch: check, allocate stock, number, resolve customers, book.
@@ -331,7 +330,6 @@ def order_intake(
         state["products"],
         strict,
         block_orders,
-        walk_rows,
     )
     taken = allocation.decisions.where("accepted").select("feed_id")
     refused = allocation.decisions.where(~F.col("accepted")).select(

@@ -162,8 +162,8 @@ def _revised_ledger(ledger: DataFrame, revised: DataFrame) -> DataFrame:
     by_number = revised.groupBy(F.col("order_number").alias("_number")).agg(
         F.max(F.struct("change_id", "total_amount", F.to_date("order_date").alias("_day"))).alias("_new")
     )
-    booked_sale = (
-        (F.col("type") == "entrada") & (F.col("category") == "venda") & (_sale_number() != "")
+    booked_sale = F.coalesce(
+        (F.col("type") == "entrada") & (F.col("category") == "venda") & (_sale_number() != ""), F.lit(False)
     )
     hit = F.col("_new").isNotNull()
     picked = {
@@ -198,7 +198,7 @@ def void_orders(ids: DataFrame, state: State) -> State:
     orders, items = state["orders"], state["order_items"]
     ledger = state["financial_transactions"]
     numbers = orders.join(gone, "id", "left_semi").select(F.col("order_number").alias("_number"))
-    named = _sale_number() != ""
+    named = F.coalesce(_sale_number() != "", F.lit(False))
     kept_sales = (
         ledger.where(named)
         .withColumn("_number", _sale_number())

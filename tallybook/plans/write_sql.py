@@ -1,12 +1,12 @@
 """SQL of the queries for sources, sinks, bulk changes and order intake.
 
-Stock allocation and the whole intake depend on every earlier decision and have no SQL; they
-are tested against a sequential model instead.
+Stock allocation depends on every earlier decision; its SQL walks the sales one by one in a
+recursive expression that carries the list of all stocks along.
 """
 
 from __future__ import annotations
 
-from tallybook.plans.parameters import PROCESSING_YEAR
+from tallybook.plans.parameters import PROCESSING_YEAR, STOCK_FACTOR
 from tallybook.plans.report_sql import folded
 from tallybook.sources.bindings import with_tables
 
@@ -53,14 +53,76 @@ FROM bo_products p LEFT JOIN latest l ON l.id = p.id"""
 
 _PRICE = "COALESCE(NULLIF(unit_price, 0), valor, unit_price)"
 
-_CUSTOMERS = f"""
-, feed AS (SELECT feed_id, arrival_seq, customer, {folded('rtrim(customer)')} AS k FROM bo_orders_feed),
+
+def _customers(feed: str) -> str:
+    return f"""
+, feed AS (SELECT feed_id, arrival_seq, customer, {folded('rtrim(customer)')} AS k FROM {feed}),
 known AS (SELECT {folded('rtrim(name)')} AS k, MIN(id) AS customer_id FROM bo_customers GROUP BY 1),
 firsts AS (SELECT k, MIN(arrival_seq) AS a, min_by(customer, arrival_seq) AS customer FROM feed
   WHERE k NOT IN (SELECT k FROM known) GROUP BY k),
 created AS (SELECT k, customer AS name, (SELECT MAX(id) FROM bo_customers) + row_number() OVER (ORDER BY a) AS id
   FROM firsts)"""
 
+
+_CUSTOMERS = _customers("bo_orders_feed")
+
+
+def _numbers(feed: str) -> str:
+    return f"""
+, f AS (SELECT feed_id, arrival_seq, CASE lower(channel) WHEN 'whatsapp' THEN 'WAT' WHEN 'ifood' THEN 'IFO'
+    ELSE 'BAL' END AS prefix FROM {feed}),
+m AS (SELECT split_part(order_number, '-', 1) AS prefix, MAX(CAST(split_part(order_number, '-', 3) AS BIGINT)) AS s
+  FROM bo_orders WHERE split_part(order_number, '-', 2) = '{PROCESSING_YEAR}' GROUP BY 1),
+numbers AS (SELECT f.feed_id, CONCAT(f.prefix, '-{PROCESSING_YEAR}-', printf('%04d', COALESCE(m.s, 0)
+  + row_number() OVER (PARTITION BY f.prefix ORDER BY f.arrival_seq))) AS order_number
+FROM f LEFT JOIN m ON m.prefix = f.prefix)"""
+
+
+def _judged(sold: str) -> str:
+    return f"""
+, sold AS (SELECT id FROM bo_products WHERE {sold}),
+wrong AS (SELECT feed_id, line_no, CASE WHEN product_id = 0 OR quantity <= 0 THEN 'incomplete_item'
+    WHEN product_id NOT IN (SELECT id FROM sold) THEN 'unknown_product' END AS reason FROM bo_items_feed),
+faults AS (SELECT feed_id, MIN(CAST(line_no AS VARCHAR) || reason) AS reason FROM wrong
+  WHERE reason IS NOT NULL GROUP BY feed_id),
+checked AS (SELECT f.feed_id, CASE WHEN f.feed_id NOT IN (SELECT feed_id FROM bo_items_feed) THEN 'no_items'
+    WHEN f.status IS NULL THEN 'no_status' ELSE substr(w.reason, 2) END AS reject_reason
+FROM bo_orders_feed f LEFT JOIN faults w ON w.feed_id = f.feed_id)"""
+
+
+def _walked(sales: str) -> str:
+    """``queue`` numbers the sales; ``walk`` has the stocks after each and whether it was taken."""
+    return f"""
+, stock AS (SELECT id, name, row_number() OVER (ORDER BY id) AS i, CAST(current_stock AS BIGINT) * {STOCK_FACTOR} AS s
+  FROM bo_products),
+queue AS (SELECT feed_id, row_number() OVER (ORDER BY arrival_seq, feed_id) AS seq FROM bo_orders_feed WHERE {sales}),
+wanted AS (SELECT feed_id, product_id, CAST(SUM(quantity) AS BIGINT) AS d, CAST(MAX(quantity) AS BIGINT) AS n
+  FROM bo_items_feed GROUP BY feed_id, product_id),
+asked AS (SELECT q.seq, list({{'i': k.i, 'd': w.d, 'n': w.n}}) AS lines FROM queue q
+  JOIN wanted w ON w.feed_id = q.feed_id JOIN stock k ON k.id = w.product_id GROUP BY q.seq),
+walk(seq, st, ok) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(s ORDER BY i) FROM stock), true
+  UNION ALL
+  SELECT seq, CASE WHEN fits THEN list_transform(st, lambda v, i:
+      CAST(v - COALESCE(list_sum([e.d for e in lines if e.i = i]), 0) AS BIGINT)) ELSE st END, fits
+  FROM (SELECT q.seq, w.st, a.lines, COALESCE(len([e for e in a.lines if w.st[e.i] < e.n]), 0) = 0 AS fits
+    FROM walk w JOIN queue q ON q.seq = w.seq + 1 LEFT JOIN asked a ON a.seq = q.seq))"""
+
+
+def _recursive(body: str, *names: str) -> str:
+    return with_tables(body, *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TAKEN_IN = (
+    _judged("true")
+    + _walked("feed_id IN (SELECT feed_id FROM checked WHERE reject_reason IS NULL)")
+    + """
+, taken AS (SELECT o.* FROM bo_orders_feed o JOIN queue q ON q.feed_id = o.feed_id JOIN walk w ON w.seq = q.seq AND w.ok),
+refused AS (SELECT feed_id, reject_reason FROM checked WHERE reject_reason IS NOT NULL
+  UNION ALL SELECT q.feed_id, 'out_of_stock' FROM queue q JOIN walk w ON w.seq = q.seq AND NOT w.ok)"""
+    + _numbers("taken")
+)
+
 _REVISION = f"""
 , ch AS (SELECT o_orderkey AS change_id, o_custkey AS id,
     CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'archived' END AS status,
@@ -174,28 +236,46 @@ FROM bo_order_items WHERE order_id IN (SELECT id FROM p) GROUP BY order_id, prod
         "bo_order_items",
     ),
     "intake_validate": with_tables(
-        f"""
-, sold AS (SELECT id FROM bo_products WHERE category <> 'PROMO'),
-wrong AS (SELECT feed_id, line_no, CASE WHEN product_id = 0 OR quantity <= 0 THEN 'incomplete_item'
-    WHEN product_id NOT IN (SELECT id FROM sold) THEN 'unknown_product' END AS reason FROM bo_items_feed),
-firsts AS (SELECT feed_id, MIN(CAST(line_no AS VARCHAR) || reason) AS reason FROM wrong
-  WHERE reason IS NOT NULL GROUP BY feed_id)
-SELECT f.feed_id, CASE WHEN f.feed_id NOT IN (SELECT feed_id FROM bo_items_feed) THEN 'no_items'
-    WHEN f.status IS NULL THEN 'no_status' ELSE substr(w.reason, 2) END AS reject_reason
-FROM bo_orders_feed f LEFT JOIN firsts w ON w.feed_id = f.feed_id""",
+        _judged("category <> 'PROMO'") + " SELECT feed_id, reject_reason FROM checked",
         "bo_products",
         "bo_orders_feed",
         "bo_items_feed",
     ),
+    "intake_allocate_stock": _recursive(
+        _walked("true") + " SELECT q.feed_id, w.ok AS accepted FROM queue q JOIN walk w ON w.seq = q.seq",
+        "bo_products",
+        "bo_orders_feed",
+        "bo_items_feed",
+    ),
+    "intake_shortages": _recursive(
+        _walked("true")
+        + """
+SELECT i.feed_id, i.product_id, k.name AS product, b.st[k.i] AS available, i.quantity AS requested
+FROM walk w JOIN walk b ON b.seq = w.seq - 1 JOIN queue q ON q.seq = w.seq
+JOIN bo_items_feed i ON i.feed_id = q.feed_id JOIN stock k ON k.id = i.product_id
+WHERE NOT w.ok AND i.quantity > b.st[k.i]""",
+        "bo_products",
+        "bo_orders_feed",
+        "bo_items_feed",
+    ),
+    "order_intake": _recursive(
+        _TAKEN_IN
+        + _customers("taken")
+        + f"""
+, totals AS (SELECT feed_id, CAST(SUM(quantity * {_PRICE}) AS DOUBLE) AS total_amount FROM bo_items_feed GROUP BY feed_id)
+SELECT t.feed_id, t.order_number, COALESCE(n.customer_id, c.id) AS customer_id, s.total_amount,
+  CAST(NULL AS VARCHAR) AS reject_reason
+FROM numbers t JOIN feed d ON d.feed_id = t.feed_id JOIN totals s ON s.feed_id = t.feed_id
+LEFT JOIN known n ON n.k = d.k LEFT JOIN created c ON c.k = d.k
+UNION ALL SELECT feed_id, NULL, NULL, NULL, reject_reason FROM refused""",
+        "bo_products",
+        "bo_customers",
+        "bo_orders",
+        "bo_orders_feed",
+        "bo_items_feed",
+    ),
     "intake_order_numbers": with_tables(
-        f"""
-, f AS (SELECT feed_id, arrival_seq, CASE lower(channel) WHEN 'whatsapp' THEN 'WAT' WHEN 'ifood' THEN 'IFO'
-    ELSE 'BAL' END AS prefix FROM bo_orders_feed),
-m AS (SELECT split_part(order_number, '-', 1) AS prefix, MAX(CAST(split_part(order_number, '-', 3) AS BIGINT)) AS s
-  FROM bo_orders WHERE split_part(order_number, '-', 2) = '{PROCESSING_YEAR}' GROUP BY 1)
-SELECT f.feed_id, CONCAT(f.prefix, '-{PROCESSING_YEAR}-', printf('%04d', COALESCE(m.s, 0)
-  + row_number() OVER (PARTITION BY f.prefix ORDER BY f.arrival_seq))) AS order_number
-FROM f LEFT JOIN m ON m.prefix = f.prefix""",
+        _numbers("bo_orders_feed") + " SELECT feed_id, order_number FROM numbers",
         "bo_orders_feed",
         "bo_orders",
     ),
@@ -307,4 +387,14 @@ SELECT CAST(order_date AS DATE) AS day, CAST(SUM(total_amount) AS DOUBLE) AS tot
 FROM bo_orders GROUP BY 1""",
         "bo_orders",
     ),
+    "stream_order_intake": _recursive(
+        _TAKEN_IN
+        + """
+SELECT feed_id, order_number, CAST(NULL AS VARCHAR) AS reject_reason FROM numbers
+UNION ALL SELECT feed_id, NULL, reject_reason FROM refused""",
+        "bo_products",
+        "bo_orders",
+        "bo_orders_feed",
+        "bo_items_feed",
+    ),
 }

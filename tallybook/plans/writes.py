@@ -212,9 +212,8 @@ def _intake_validate(b: Bindings) -> DataFrame:
 
 
 def _allocation(b: Bindings) -> Allocation:
-    """Every sale whose lines are in order, against a multiple of the stock."""
-    lines = b.items_feed.where(F.col("quantity") > 0)
-    return allocate_stock(b.orders_feed, lines, intake_state(b)["products"])
+    """Every sale against a multiple of the stock."""
+    return allocate_stock(b.orders_feed, b.items_feed, intake_state(b)["products"])
 
 
 def _taken(b: Bindings) -> intake.Intake:

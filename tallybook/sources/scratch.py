@@ -1,34 +1,41 @@
-"""Intermediate results written to the shared folder named by ``spark.checkpoint.dir``.
+"""Intermediate results written to a folder that all executors reach.
 
-A written table cuts the lineage and survives the loss of any executor.
+A written table cuts the lineage and survives the loss of any executor. The folder is the one
+named by ``spark.checkpoint.dir``, else the warehouse; what a session wrote there goes when the
+session ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only for a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    """The shared folder; an error if the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = context.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="run-tallybook-")
-    return _LOCAL_ROOTS[app]
+    return root.rstrip("/")
+
+
+def _session_folder(spark: SparkSession) -> str:
+    """A folder of this session's own, removed by the file system when the session's JVM ends."""
+    key = f"{scratch_root(spark)}/tallybook/{spark.sparkContext.applicationId}"
+    if key not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(key)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[key] = key
+    return key
 
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
-    return f"{scratch_root(spark)}/tallybook/{label}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallybook.functions.rows import PART_ROWS, nest
-from tallybook.operators.allocation import BLOCK_ORDERS, WALK_ROWS
+from tallybook.operators.allocation import BLOCK_ORDERS
 from tallybook.operators.intake import (
     PREFIXES,
     Counters,
@@ -103,7 +103,6 @@ def run_order_intake(
     processing_year: int,
     source_tz: str = "UTC",
     block_orders: int = BLOCK_ORDERS,
-    walk_rows: int = WALK_ROWS,
 ) -> StreamingQuery:
     """Take in what has arrived, batch by batch, under ``root``.
 
@@ -120,7 +119,6 @@ def run_order_intake(
             processing_year,
             source_tz,
             block_orders=block_orders,
-            walk_rows=walk_rows,
             counters=start,
         )
         for name, rows in done.new.items():

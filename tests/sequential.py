@@ -25,7 +25,8 @@ def allocate(orders, items, stock, strict=False):
             for product, quantity in mine:
                 stock[product] -= quantity
         else:
-            shortages += [(feed_id, p, stock[p], q) for p, q in mine if q > stock[p]]
+            lacking = asked.items() if strict else mine
+            shortages += [(feed_id, p, stock[p], q) for p, q in lacking if q > stock[p]]
     return verdicts, shortages
 
 

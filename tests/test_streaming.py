@@ -118,7 +118,7 @@ def test_intake_in_batches_equals_one_batch(spark, folder):
         high = (16, 31, 99)[step]
         drop(documents.where(F.col("feed_id").between(low + 1 if low else 0, high)), f"{folder}/in", step)
     arriving = read_stream(spark, f"{folder}/in", schema, files_per_batch=1)
-    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/state", 2024, walk_rows=0).awaitTermination()
+    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/state", 2024).awaitTermination()
 
     assert len([n for n in os.listdir(f"{folder}/out/orders") if n.startswith("batch=")]) == 3
     after = current_state(base, f"{folder}/out", 3)
@@ -133,7 +133,7 @@ def test_intake_in_batches_equals_one_batch(spark, folder):
     for name in os.listdir(f"{folder}/crashed/commits"):
         if name.endswith(".crc") and ".2." in name:
             os.remove(f"{folder}/crashed/commits/{name}")
-    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/crashed", 2024, walk_rows=0).awaitTermination()
+    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/crashed", 2024).awaitTermination()
     again = current_state(base, f"{folder}/out", 3)
     for name, columns in TABLES.items():
         assert contents(again[name], *columns) == contents(whole.state[name], *columns), name
