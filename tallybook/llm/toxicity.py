@@ -79,7 +79,7 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    docs_per_class: int = 1200,
+    docs_per_class: int = 1000,
     chars_per_doc: int = 8000,
     landmarks: int = 320,
     rounds: int = 3,
