@@ -22,6 +22,10 @@ from tallybook.session import get_spark  # noqa: E402
 FURTHER_RESULTS = {
     "append_rows",
     "insert_rows_rejected",
+    "insert_recipe_ingredients",
+    "insert_recipes_rejected",
+    "revise_recipe_ingredients",
+    "revise_recipes_rejected",
     "intake_new_customers",
     "intake_shortages",
     "revise_orders_items",

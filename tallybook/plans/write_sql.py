@@ -54,6 +54,48 @@ FROM bo_products p LEFT JOIN latest l ON l.id = p.id"""
 _PRICE = "COALESCE(NULLIF(unit_price, 0), valor, unit_price)"
 
 
+def _recipe_feed(recipe: str, unknown: str) -> str:
+    """``heads`` with a reason, and ``lines`` of the recipes written; ``recipe`` is the id they name."""
+    return f"""
+, lines AS (SELECT l_orderkey AS feed_id, l_linenumber AS line_no,
+    CASE WHEN l_linenumber = 7 AND l_partkey % 4 = 0 THEN -l_partkey ELSE l_partkey END AS product_id,
+    CAST(l_quantity AS DECIMAL(10,2)) AS quantity,
+    CASE WHEN l_linenumber <> 6 OR l_returnflag <> 'A' THEN 'un' END AS unit, l_returnflag AS notes FROM lineitem),
+judged AS (SELECT *, CASE WHEN unit IS NULL THEN 'missing:unit'
+    WHEN product_id NOT IN (SELECT id FROM bo_products) THEN 'unknown:product_id' END AS fault FROM lines),
+faults AS (SELECT feed_id, min_by(fault, line_no) AS fault FROM judged WHERE fault IS NOT NULL GROUP BY feed_id),
+feed AS (SELECT o_orderkey AS feed_id, {recipe} AS id,
+    CASE WHEN o_orderstatus <> 'P' THEN CONCAT('Receita ', o_orderkey) END AS name, o_orderpriority AS category,
+    CAST(o_orderkey % 90 AS INT) AS prep_time, CAST(NULL AS VARCHAR) AS image_url, o_orderstatus AS instructions,
+    CAST(NULL AS VARCHAR) AS notes FROM orders),
+heads AS (SELECT f.*, CASE WHEN {unknown} THEN 'unknown:recipe' WHEN f.name IS NULL THEN 'missing:name'
+    ELSE x.fault END AS reject_reason FROM feed f LEFT JOIN faults x ON x.feed_id = f.feed_id)"""
+
+
+_NEW_RECIPES = (
+    _recipe_feed("CAST(NULL AS BIGINT)", "false")
+    + """
+, taken AS (SELECT * REPLACE ((SELECT MAX(id) FROM bo_recipes) + row_number() OVER (ORDER BY feed_id) AS id)
+  FROM heads WHERE reject_reason IS NULL)"""
+)
+_REVISED_RECIPES = (
+    _recipe_feed(
+        "CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey ELSE o_custkey END",
+        "f.id NOT IN (SELECT id FROM bo_recipes)",
+    )
+    + """
+, taken AS (SELECT * FROM heads WHERE reject_reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY feed_id DESC) = 1)"""
+)
+_RECIPE_ROWS = "id, name, category, prep_time, image_url, instructions, notes"
+_INGREDIENT_ROWS = "id, recipe_id, product_id, CAST(quantity AS DOUBLE) AS quantity, unit, notes"
+_INGREDIENTS_ADDED = f"""
+SELECT {_INGREDIENT_ROWS} FROM (SELECT (SELECT MAX(id) FROM bo_recipe_ingredients) + row_number() OVER
+  (ORDER BY t.id, l.line_no, l.product_id, l.quantity, l.unit, l.notes) AS id, t.id AS recipe_id,
+  l.product_id, l.quantity, l.unit, l.notes FROM taken t JOIN lines l ON l.feed_id = t.feed_id)"""
+_RECIPE_TABLES = ("bo_products", "bo_recipes", "bo_recipe_ingredients")
+
+
 def _customers(feed: str) -> str:
     return f"""
 , feed AS (SELECT feed_id, arrival_seq, customer, {folded('rtrim(customer)')} AS k FROM {feed}),
@@ -224,6 +266,33 @@ FROM bo_tasks t""",
         "bo_tasks",
         "bo_task_categories",
     ),
+    "insert_recipes": with_tables(
+        f"{_NEW_RECIPES} SELECT {_RECIPE_ROWS} FROM bo_recipes UNION ALL SELECT {_RECIPE_ROWS} FROM taken",
+        *_RECIPE_TABLES,
+    ),
+    "insert_recipe_ingredients": with_tables(
+        f"{_NEW_RECIPES} SELECT {_INGREDIENT_ROWS} FROM bo_recipe_ingredients UNION ALL {_INGREDIENTS_ADDED}",
+        *_RECIPE_TABLES,
+    ),
+    "insert_recipes_rejected": with_tables(
+        f"{_NEW_RECIPES} SELECT feed_id, reject_reason FROM heads WHERE reject_reason IS NOT NULL", *_RECIPE_TABLES
+    ),
+    "revise_recipes": with_tables(
+        f"""{_REVISED_RECIPES}
+SELECT {_RECIPE_ROWS} FROM bo_recipes WHERE id NOT IN (SELECT id FROM taken)
+UNION ALL SELECT {_RECIPE_ROWS} FROM taken""",
+        *_RECIPE_TABLES,
+    ),
+    "revise_recipe_ingredients": with_tables(
+        f"""{_REVISED_RECIPES}
+SELECT {_INGREDIENT_ROWS} FROM bo_recipe_ingredients WHERE recipe_id NOT IN (SELECT id FROM taken)
+UNION ALL {_INGREDIENTS_ADDED}""",
+        *_RECIPE_TABLES,
+    ),
+    "revise_recipes_rejected": with_tables(
+        f"{_REVISED_RECIPES} SELECT feed_id, reject_reason FROM heads WHERE reject_reason IS NOT NULL",
+        *_RECIPE_TABLES,
+    ),
     "replace_children": with_tables(
         """
 , p AS (SELECT id FROM bo_orders WHERE status = 'pending')

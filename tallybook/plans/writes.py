@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.functions.rows import stack_metrics
-from tallybook.operators import changes, intake, revisions
+from tallybook.operators import changes, intake, recipe_changes, revisions
 from tallybook.operators.allocation import Allocation, allocate_stock
 from tallybook.plans.parameters import PROCESSING_YEAR, STOCK_FACTOR
 from tallybook.sources import tables
@@ -191,6 +191,52 @@ def _replace_children(b: Bindings) -> DataFrame:
     return found.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
+def _recipe_feed(b: Bindings, **more: Column) -> DataFrame:
+    """Every order as a recipe; pending ones lack a name."""
+    key = F.col("o_orderkey")
+    named = F.concat(F.lit("Receita "), key.cast("string"))
+    return b.source("orders").select(
+        key.alias("feed_id"),
+        F.when(F.col("o_orderstatus") != "P", named).alias("name"),
+        F.col("o_orderpriority").alias("category"),
+        (key % 90).cast("int").alias("prep_time"),
+        F.col("o_orderstatus").alias("instructions"),
+        *[value.alias(name) for name, value in more.items()],
+    )
+
+
+def _recipe_lines(b: Bindings) -> DataFrame:
+    """Every line as an ingredient; some seventh lines name no product, some sixth ones no unit."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    return b.source("lineitem").select(
+        F.col("l_orderkey").alias("feed_id"),
+        line.alias("line_no"),
+        F.when((line == 7) & (part % 4 == 0), -part).otherwise(part).alias("product_id"),
+        F.col("l_quantity").alias("quantity"),
+        F.when((line != 6) | (F.col("l_returnflag") != "A"), "un").alias("unit"),
+        F.col("l_returnflag").alias("notes"),
+    )
+
+
+def _recipes_inserted(b: Bindings) -> recipe_changes.RecipesWritten:
+    return recipe_changes.insert_recipes(
+        b.recipes, b.recipe_ingredients, b.products, _recipe_feed(b), _recipe_lines(b)
+    )
+
+
+def _recipes_revised(b: Bindings) -> recipe_changes.RecipesWritten:
+    """Orders as revisions of their customer's recipe; some name an unknown one."""
+    customer = F.col("o_custkey")
+    named = F.when(F.col("o_orderkey") % 11 == 0, -customer).otherwise(customer)
+    return recipe_changes.revise_recipes(
+        b.recipes, b.recipe_ingredients, b.products, _recipe_feed(b, id=named), _recipe_lines(b)
+    )
+
+
+def _with_quantity(ingredients: DataFrame) -> DataFrame:
+    return ingredients.withColumn("quantity", F.col("quantity").cast("double"))
+
+
 # -- order intake -----------------------------------------------------------------------------
 
 
@@ -320,6 +366,12 @@ QUERIES: dict[str, Query] = {
     "delete_products": _delete_products,
     "delete_set_null": _delete_set_null,
     "insert_ledger_rows": _insert_ledger_rows,
+    "insert_recipes": lambda b: _recipes_inserted(b).recipes,
+    "insert_recipe_ingredients": lambda b: _with_quantity(_recipes_inserted(b).ingredients),
+    "insert_recipes_rejected": lambda b: _recipes_inserted(b).rejected,
+    "revise_recipes": lambda b: _recipes_revised(b).recipes,
+    "revise_recipe_ingredients": lambda b: _with_quantity(_recipes_revised(b).ingredients),
+    "revise_recipes_rejected": lambda b: _recipes_revised(b).rejected,
     "mark_reminders_sent": _mark_reminders_sent,
     "replace_children": _replace_children,
     "intake_validate": _intake_validate,
