@@ -81,9 +81,8 @@ def dense_index(
     and partition, so that one group holding most rows is still spread over all partitions.
     ``keep`` lists the columns that are needed afterwards (default all).
     """
-    spark = df.sparkSession
     columns = df.columns if keep is None else list(keep)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # monotonically_increasing_id() holds the partition above bit 33 and the place below it.
     staged = materialize(
         df.repartitionByRange(parts, *order_by)
@@ -165,31 +164,18 @@ def nest(
     key: str,
     element: Sequence[Column],
     into: str,
-    split_by: Sequence[str],
+    tie: Sequence[str] = (),
     part_rows: int = PART_ROWS,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Children as one sorted array of structs per key: ``(key, part, into)``.
+    """Children as sorted arrays of structs: ``(key, part, into)``.
 
-    A key with more than ``part_rows`` children comes out as several parts, spread by a hash
-    of ``split_by``, so no array grows with the data; every other key has the single part 0.
-    ``sizes`` is a cheaper frame to count by: the children before they were joined to anything.
+    Children are placed within their key in the order of the struct, then of ``tie``, and every
+    ``part_rows`` of them make one part, counted from 0. So parts are bounded, sorted and follow
+    each other, and a key with most children is built by many tasks; a usual key is part 0 alone.
     """
-    counts = (children if sizes is None else sizes).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.where(F.col("_n") > part_rows).select(
-        key, F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts")
-    )
-    array = F.sort_array(F.collect_list(F.struct(*element))).alias(into)
-    usual = (
-        children.join(big, key, "left_anti").groupBy(key).agg(array).select(key, F.lit(0).alias("part"), into)
-    )
-    # Without the repartition the join's partitioning by key alone would do for the grouping,
-    # and all parts of a key would be built by one task.
-    oversized = (
-        children.join(big, key)
-        .withColumn("part", F.pmod(F.xxhash64(*split_by), F.col("_parts")).cast("int"))
-        .repartition(key, "part")
-        .groupBy(key, "part")
-        .agg(array)
-    )
-    return usual.unionByName(oversized)
+    rows = children.select(key, F.struct(*element).alias("_element"), *tie)
+    order = [F.col(c) for c in (key, "_element", *tie)]
+    placed = dense_index(rows, order, "_n", [key], "_at", keep=[key, "_element"])
+    part = F.floor(F.col("_at") / F.lit(part_rows)).cast("int").alias("part")
+    array = F.sort_array(F.collect_list("_element")).alias(into)
+    return placed.select(key, part, "_element").groupBy(key, "part").agg(array)

@@ -141,9 +141,7 @@ def recipe_details(
         "recipe_id",
         [F.col(c) for c in order],
         "ingredients",
-        ["id", "product_id"],
-        part_rows,
-        sizes=used,
+        part_rows=part_rows,
     )
     element = (
         "struct<id:bigint,name:string,quantity:decimal(10,2),unit:string,notes:string,"

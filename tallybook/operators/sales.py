@@ -212,9 +212,9 @@ def _nested_lines(
     """Lines with product names, as one array per order (several for an oversized order)."""
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     wanted = ["order_id", "product_id", "quantity", "unit_price"]
-    split_by = [c for c in ("id", "line_number") if c in items.columns]
-    lines = items.select(*wanted, *split_by).join(names, "product_id")
-    return nest(lines, "order_id", element, "items", [*wanted, *split_by], part_rows, sizes=items)
+    tie = [c for c in ("id", "line_number") if c in items.columns]
+    lines = items.select(*wanted, *tie).join(names, "product_id")
+    return nest(lines, "order_id", element, "items", tie, part_rows)
 
 
 def sales_documents(

@@ -141,6 +141,7 @@ FROM bo_orders o LEFT JOIN bo_customers c ON c.id = o.customer_id LEFT JOIN line
   FROM bo_order_items i JOIN bo_products p ON p.id = i.product_id GROUP BY i.order_id)
 SELECT o.id, o.order_number, o.customer_id, CAST(o.total_amount AS DOUBLE) AS total_amount, o.status,
   o.observations, o.channel, o.order_date, o.whatsapp_number, o.ifood_order, o.attendant, o.payment_method,
+  CAST(o.amount_received AS DOUBLE) AS amount_received, CAST(o.change_given AS DOUBLE) AS change_given,
   c.name AS customer_name, o.customer_id AS customer, 0 AS part, COALESCE(l.items, '') AS items
 FROM bo_orders o LEFT JOIN bo_customers c ON c.id = o.customer_id LEFT JOIN lines l ON l.order_id = o.id
 WHERE o.id IN (SELECT order_id FROM bo_order_items)""",
@@ -202,7 +203,7 @@ SELECT (SELECT COUNT(*) FROM bo_recipes) AS total,
     "recipe_details": with_tables(
         """
 , used AS (SELECT i.recipe_id, string_agg(concat_ws(':', CAST(i.id AS VARCHAR), p.name,
-    CAST(i.quantity AS VARCHAR), i.unit, CAST(p.id AS VARCHAR),
+    CAST(i.quantity AS VARCHAR), i.unit, i.notes, CAST(p.id AS VARCHAR),
     CASE WHEN p.current_stock = 0 THEN '1' ELSE '0' END), ',' ORDER BY i.id) AS ingredients
   FROM bo_recipe_ingredients i JOIN bo_products p ON p.id = i.product_id GROUP BY i.recipe_id)
 SELECT r.*, 0 AS part, COALESCE(u.ingredients, '') AS ingredients

@@ -36,14 +36,14 @@ def _sale_details(b: Bindings) -> DataFrame:
     """Every order that a line names; the ids come from the whole line table."""
     ids = b.order_items.select(F.col("order_id").alias("id"))
     found = sales.sale_details(b.orders, b.customers, b.order_items, b.products, ids)
-    found = found.withColumn("total_amount", F.col("total_amount").cast("double"))
-    found = _items_text(found, "items", ["product", "product_name", "quantity", "valor"])
-    return found.drop("amount_received", "change_given")
+    for name in ("total_amount", "amount_received", "change_given"):
+        found = found.withColumn(name, F.col(name).cast("double"))
+    return _items_text(found, "items", ["product", "product_name", "quantity", "valor"])
 
 
 def _recipe_details(b: Bindings) -> DataFrame:
     found = recipes.recipe_details(b.recipes, b.recipe_ingredients, b.products)
-    return _items_text(found, "ingredients", ["id", "name", "quantity", "unit", "product_id", "missing"])
+    return _items_text(found, "ingredients", ["id", "name", "quantity", "unit", "notes", "product_id", "missing"])
 
 
 def _product_lookup(b: Bindings) -> DataFrame:

@@ -39,15 +39,14 @@ def sale_feed_documents(
     All parts of a sale have to arrive in the same batch.
     """
     lines = nest(
-        items_feed, "feed_id", [F.col(c) for c in LINE_FIELDS], "items", LINE_FIELDS, part_rows
+        items_feed, "feed_id", [F.col(c) for c in LINE_FIELDS], "items", part_rows=part_rows
     )
     return orders_feed.join(lines, "feed_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def flatten(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(orders_feed, items_feed) of a batch of sale documents."""
-    first = documents.groupBy("feed_id").agg(F.min("part").alias("part"))
-    heads = documents.drop("items").join(first, ["feed_id", "part"], "left_semi").drop("part")
+    heads = documents.where(F.col("part") == 0).drop("items", "part")
     items = documents.select("feed_id", F.inline("items"))
     return heads, items
 

@@ -40,14 +40,17 @@ def test_sum_before_does_not_depend_on_blocks(spark, block):
     }
 
 
-def test_nest_splits_only_oversized_keys(spark):
-    data = [(1, i) for i in range(50)] + [(2, 7), (2, 3)]
-    df = frame(spark, "k bigint, v bigint", data)
-    found = rows(nest(df, "k", [F.col("v")], "vs", ["v"], part_rows=10))
-    parts = [(part, [r["v"] for r in vs]) for k, part, vs in found if k == 1]
-    assert len(parts) > 1 and sorted(v for _, vs in parts for v in vs) == list(range(50))
-    assert len({part for part, _ in parts}) == len(parts)
-    assert [(part, [r["v"] for r in vs]) for k, part, vs in found if k == 2] == [(0, [3, 7])]
+def test_nest_cuts_every_key_the_same_way(spark):
+    data = [(1, i) for i in range(53)] + [(2, 7), (2, 3)] + [(3, 5)] * 25
+    random.Random(3).shuffle(data)
+    df = frame(spark, "k bigint, v bigint", data).repartition(5)
+    found = sorted(rows(nest(df, "k", [F.col("v")], "vs", part_rows=10)))
+    parts = {(k, part): [r["v"] for r in vs] for k, part, vs in found}
+    assert {p: vs for (k, p), vs in parts.items() if k == 1} == {
+        p: list(range(53))[10 * p : 10 * p + 10] for p in range(6)
+    }
+    assert parts[2, 0] == [3, 7]
+    assert [len(vs) for (k, _), vs in parts.items() if k == 3] == [10, 10, 5]
 
 
 def test_deep_pages_equal_near_ones(spark, monkeypatch):
