@@ -94,14 +94,26 @@ def top_products(
 
 
 def recent_orders(
-    orders: DataFrame, customers: DataFrame, items: DataFrame, page: int = 1, limit: int = 4
+    orders: DataFrame,
+    customers: DataFrame,
+    items: DataFrame,
+    page: int = 1,
+    limit: int = 4,
+    after: tuple[Moment, int] | None = None,
 ) -> DataFrame:
     """One page of orders, newest first, with customer name and line count.
 
+    ``after`` is the (order_date, id) of the last order seen: pages are counted from there on, so
+    that going on takes a filter that reaches the scan and a small top-k, however deep it is.
+
     Every order has its customer, so the page can be cut before anything is joined; only its few
     ids meet the item lines, which are filtered by broadcast and not shuffled.
     """
     newest = [F.desc("order_date"), F.desc("id")]
+    if after is not None:
+        day, last = ts_lit(after[0]), F.lit(after[1])
+        older = (F.col("order_date") < day) | (F.col("id") < last)
+        orders = orders.where((F.col("order_date") <= day) & older)
     wanted = paginate(
         orders.select("id", "order_number", "customer_id", "total_amount", "status", "order_date"),
         newest,

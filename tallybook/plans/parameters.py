@@ -1,6 +1,8 @@
 """Clocks and parameters shared by the named queries and their SQL."""
 
 ORDERS_AS_OF = "1998-07-15 12:00:00"
+# The last order seen: a day of many orders, and an id in their midst.
+ORDERS_SEEN = ("1995-06-17 00:00:00", 5000)
 TASKS_AS_OF = "2024-01-15 12:00:00"
 LOG_AS_OF = "2024-01-31 12:00:00"
 

@@ -8,6 +8,7 @@ from tallybook.plans.parameters import (
     LOG_AS_OF,
     MONTH,
     ORDERS_AS_OF,
+    ORDERS_SEEN,
     TASKS_AS_OF,
     TASKS_FROM,
     TASKS_TO,
@@ -79,6 +80,20 @@ ORDER BY o.order_date DESC, o.id DESC LIMIT 25 OFFSET 25""",
         "bo_customers",
         "bo_order_items",
     ),
+    "recent_orders_after": with_tables(
+        f"""
+SELECT o.id, o.order_number, c.name AS customer_name, COUNT(i.product_id) AS items_count,
+  CAST(o.total_amount AS DOUBLE) AS total_amount, o.status,
+  strftime(o.order_date, '%d/%m/%Y') AS formatted_date
+FROM bo_orders o JOIN bo_customers c ON c.id = o.customer_id
+LEFT JOIN bo_order_items i ON i.order_id = o.id
+WHERE (o.order_date, o.id) < (TIMESTAMP '{ORDERS_SEEN[0]}', {ORDERS_SEEN[1]})
+GROUP BY o.id, o.order_number, c.name, o.total_amount, o.status, o.order_date
+ORDER BY o.order_date DESC, o.id DESC LIMIT 25""",
+        "bo_orders",
+        "bo_customers",
+        "bo_order_items",
+    ),
     "recent_orders_total": with_tables("SELECT COUNT(*) AS total FROM bo_orders", "bo_orders"),
     "low_stock": with_tables(
         """

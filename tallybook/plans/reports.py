@@ -12,6 +12,7 @@ from tallybook.plans.parameters import (
     LOG_AS_OF,
     MONTH,
     ORDERS_AS_OF,
+    ORDERS_SEEN,
     TASKS_AS_OF,
     TASKS_FROM,
     TASKS_TO,
@@ -64,6 +65,9 @@ QUERIES: dict[str, Query] = {
     "sales_kpis": lambda b: sales.sales_kpis(b.orders, b.products, b.customers, ORDERS_AS_OF),
     "top_products": lambda b: sales.top_products(b.order_items, b.products, b.orders, ORDERS_AS_OF),
     "recent_orders": lambda b: sales.recent_orders(b.orders, b.customers, b.order_items, 2, 25),
+    "recent_orders_after": lambda b: sales.recent_orders(
+        b.orders, b.customers, b.order_items, 1, 25, after=ORDERS_SEEN
+    ),
     "recent_orders_total": lambda b: sales.recent_orders_total(b.orders),
     "low_stock": lambda b: products.low_stock(b.products),
     "sales_by_weekday": lambda b: sales.sales_by_weekday(b.orders, ORDERS_AS_OF),

@@ -80,6 +80,17 @@ def test_recent_orders(spark):
     assert rows(sales.recent_orders_total(o)) == [(12,)]
 
 
+def test_recent_orders_go_on_after_the_last_one_seen(spark):
+    o, c, i = shop.orders(spark), shop.customers(spark), shop.order_items(spark)
+    dates = {r["id"]: r["order_date"] for r in o.collect()}
+    whole = rows(sales.recent_orders(o, c, i, 1, 12))
+    seen, found = None, []
+    while page := rows(sales.recent_orders(o, c, i, 1, 5, after=seen)):
+        found += page
+        seen = (dates[page[-1][0]], page[-1][0])
+    assert found == whole
+
+
 def test_sales_series(spark):
     o = shop.orders(spark)
     # Monday 15th to Sunday 21st, listed Sunday first.
