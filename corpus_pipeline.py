@@ -31,11 +31,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one with the smallest id."""
-    kept = simhash_dedup.one_of_each(simhash_dedup.simhash_groups(docs, shingle=4, bits=4))
-    kept = kept.select(F.col("id").alias("_kept_id"), F.col("h").alias("_kept_h"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_h"))
-    return docs.join(kept, same, "left_semi")
+    """One row of each group of linked fingerprints, the one with the smallest id.
+
+    Rows are told apart by a number written beside them, so that of repeated rows, too, one stays.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = simhash_dedup.one_of_each(simhash_dedup.simhash_groups(rows, shingle=4, bits=4, row_col="_row"))
+    return rows.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi").select(*map(quoted, docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

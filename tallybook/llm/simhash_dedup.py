@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallybook.llm.common import batch, prepare, quoted, spread
 from tallybook.sources.scratch import materialize
 
-_PRINTS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 _VISITS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("asks", pa.bool_()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -34,45 +34,47 @@ def simhash_groups(
     bands: int = 3,
     leaf: int = 1024,
     block: int = 8192,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``id``, ``h`` (hash of its text), ``fp`` and ``component_id``.
+    """One row per document: ``id``, ``h`` (hash of its text), ``row``, ``fp``, ``root`` and ``component_id``.
 
     Words are split at ASCII white space and A-Z lower-cased; a bit of ``fp`` (64 bits as a long)
     is 1 if more than half of the XXH64 values (seed 42) of the ``shingle``-word shingles, repeats
     included, have it. Fewer words make one shingle; texts without words, and null ones, have
     fingerprint 0 and are linked like any other. Documents are linked at ``bits`` or fewer
     differing bits; ``component_id`` is the smallest id reachable over links, null if no document
-    of the group has an id. Repeated rows each come out.
+    of the group has an id. ``root``, the smallest fingerprint reachable, tells such groups apart.
+    ``row`` is the long in ``row_col``, null without one. Repeated rows each come out.
 
     ``leaf`` is the number of fingerprints a leaf is planned for. A leaf with more than ``block``
     of them is searched in several parts by tasks of their own.
     """
     prepare(docs.sparkSession)
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle, row_col), "prints")
     return _with_components(prints, linked(prints.select("fp"), bits, bands, leaf, block))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id``, ``h`` (hash of the text) and ``fp`` of every document."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, row_col: str | None = None
+) -> DataFrame:
+    """``id``, ``h`` (hash of the text), ``row`` and ``fp`` of every document."""
     texts = docs.select(
         quoted(id_col).cast("long").alias("id"),
         F.xxhash64(quoted(text_col)).alias("h"),
+        (quoted(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
         quoted(text_col).cast("string").alias("text"),
     )
-    return spread(texts, F.col("id"), F.col("h")).mapInArrow(_fingerprint(shingle), "id long, h long, fp long")
+    return spread(texts, F.col("id"), F.col("h")).mapInArrow(_fingerprint(shingle), "id long, h long, row long, fp long")
 
 
 def one_of_each(groups: DataFrame) -> DataFrame:
-    """Keys ``id`` and ``h`` of the one document of each group that stays: the smallest.
+    """Keys ``id``, ``h`` and ``row`` of the one row of each group that stays: the smallest.
 
-    Rows without an id stay only if their whole group has none; rows equal in id and text are one
-    document.
+    A row without an id stays only if its whole group has none. Rows equal in id and text differ in
+    ``row`` alone, so only with it do the keys name a single row.
     """
-    smallest = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("first")
-    by_print = groups.groupBy("fp", "component_id").agg(smallest)
-    named = by_print.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("first").alias("first"))
-    nameless = by_print.where("component_id IS NULL").select("component_id", "first")
-    return named.unionByName(nameless).select("first.id", "first.h")
+    smallest = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "row")).alias("first")
+    return groups.groupBy("root").agg(smallest).select("first.id", "first.h", "first.row")
 
 
 def linked(prints: DataFrame, bits: int, bands: int, leaf: int, block: int) -> DataFrame:
@@ -121,14 +123,14 @@ def _handed(edges: DataFrame, smallest: Column, which: Column) -> DataFrame:
 
 
 def _with_components(prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every document with the smallest id of its group."""
+    """Every document with the smallest fingerprint and the smallest id of its group."""
     first = prints.groupBy("fp").agg(F.min("id").alias("id"))
     grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root")
     )
     smallest = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = materialize(grouped.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "groups")
-    return prints.join(named, "fp").select("id", "h", "fp", "component_id")
+    named = materialize(grouped.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "groups")
+    return prints.join(named, "fp").select("id", "h", "row", "fp", "root", "component_id")
 
 
 def _fingerprint(shingle: int):
@@ -150,7 +152,7 @@ def _fingerprint(shingle: int):
         for rows in batches:
             found = b"".join([of_text((t.as_py() or "").encode()) for t in rows.column("text")])
             fp = np.frombuffer(found, dtype=">u8").astype(np.uint64).view(np.int64)
-            yield batch(_PRINTS, rows.column("id"), rows.column("h"), fp)
+            yield batch(_PRINTS, rows.column("id"), rows.column("h"), rows.column("row"), fp)
 
     return run
 

@@ -70,3 +70,18 @@ def test_odd_rows_pass(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, MEDIUM), name)
         docs.count()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows read in twice, and copies and near copies without ids, leave one row of each group."""
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    long, other = " ".join(words), " ".join(reversed(words))
+    near = " ".join(words[:-1] + ["end"])
+    ids = [(1, long), (2, near), (7, "a text that is read in twice"), (8, "read in once")]
+    nameless = [(None, other), (None, other), (None, other + " end"), (None, "no id here"), (None, "no id here"), (None, None), (None, "")]
+    docs = spark.createDataFrame((ids[:3] + nameless) * 2 + ids[3:], "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.without_near_copies(spark, docs, MEDIUM).collect()
+    keys = [(r.doc_id, r.text and r.text[:25]) for r in got]
+    one_of = [(1, long[:25]), (7, ids[2][1][:25]), (8, "read in once"), (None, other[:25]), (None, "no id here")]
+    assert sorted((k for k in keys if k[1]), key=str) == sorted(one_of, key=str)
+    assert len(got) == 6 and sum(not r.text for r in got) == 1
