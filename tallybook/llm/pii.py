@@ -26,7 +26,21 @@ _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
 _URL = _ALNUM | frozenset("-._~:/?#[]@!$&'()*+,;=%")
 _SCHEMES = ("http", "https", "ftp")
-_CUES = {"iban": "iban", "ssn": "ssn", "account": "account", "acct": "account", "konto": "account"}
+_CUES = {
+    "iban": "iban",
+    "ssn": "ssn",
+    "social security": "ssn",
+    **dict.fromkeys(("account", "accounts", "acct", "konto", "konten", "kto", "compte", "comptes", "cuenta", "cuentas"), "account"),
+}
+# Cues that other words end in, such as "décompte"; they only count as words of their own.
+_WHOLE = frozenset(("kto", "compte", "comptes", "cuenta", "cuentas"))
+# Words for "number", which may also be written together with the cue, as in "Kontonummer".
+_NUMBER = frozenset("number numbers no nos nr num nummer nummern numero numéro número n nº n° º id".split())
+_LINKS = _NUMBER | frozenset(
+    "is are was the of my bank ist sind lautet lauten die der est sont le la de bancaire courant "
+    "es son el bancaria corriente".split()
+)
+_BETWEEN = frozenset(" \t\r\n\u00a0\u202f:#=.-_°()\"'*|")
 
 
 def find_personal_data(
@@ -42,7 +56,8 @@ def find_personal_data(
     Luhn check, and numbers of 10 to 15 digits behind a plus sign. The others are addresses behind
     ``http``, ``https`` or ``ftp`` that carry a user, and identifiers behind an announcing word:
     social security numbers, IBANs with a valid check number, and account numbers of 8 to 20
-    digits.
+    digits. Announcing words are English, German, French and Spanish and match in any case; a few
+    separators and link words ("number", "no.", "is") may stand between them and the identifier.
 
     A null text has no spans and stays null when masked. Repeated rows each come out; input
     columns of the result's names are replaced, and without ``keep_text`` the text is left out.
@@ -83,9 +98,8 @@ def _anchors():
         automaton.add_word(digit, "digit")
     for text, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         automaton.add_word(text, kind)
-    for cue, kind in _CUES.items():
-        for form in (cue, cue.upper(), cue.title()):
-            automaton.add_word(form, kind)
+    for cue in _CUES:
+        automaton.add_word(cue, cue)
     automaton.make_automaton()
     return automaton
 
@@ -94,7 +108,10 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
     """All spans of a text as kind, start and end."""
     found: list[tuple[str, int, int]] = []
     email_to = number_to = dotted_to = 0
-    for place, anchor in automaton.iter(text):
+    lower = text.lower()
+    if len(lower) != len(text):  # Only this letter becomes two; places have to stay the same.
+        lower = text.replace("\u0130", "I").lower()
+    for place, anchor in automaton.iter(lower):
         if anchor == "digit":
             if place >= number_to:
                 end, digits = _chain(text, place)
@@ -110,7 +127,7 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
         elif anchor == "scheme":
             _address(text, place - 2, found)
         else:
-            _identifier(text, place + 1, anchor, found)
+            _identifier(text, lower, place + 1, anchor, found)
     if len(found) > 1:
         found = sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return found
@@ -211,27 +228,53 @@ def _address(text: str, at: int, found: list) -> None:
         found.append(("url", start, end))
 
 
-def _identifier(text: str, at: int, kind: str, found: list) -> None:
-    """An identifier behind the word that announces it, a few separators between them."""
-    if at < len(text) and text[at].isalnum():
+def _identifier(text: str, lower: str, at: int, cue: str, found: list) -> None:
+    """An identifier behind the word that announces it, a few separators and link words between them."""
+    kind, start = _CUES[cue], at - len(cue)
+    if cue in _WHOLE and start and text[start - 1].isalpha():
         return
-    limit = min(len(text), at + 6)
-    while at < limit and text[at] in " :#=.\t":
+    if at < len(text) and text[at].isalnum():
+        at = _word(text, at)
+        if lower[start + len(cue) : at] not in _NUMBER:
+            return
+    for _ in range(5):
+        limit = min(len(text), at + 6)
+        while at < limit and text[at] in _BETWEEN:
+            at += 1
+        end = _identified(text, at, kind)
+        if end:
+            found.append((kind, at, end))
+            return
+        after = _word(text, at)
+        if lower[at:after] not in _LINKS:
+            return
+        at = after
+
+
+def _word(text: str, at: int) -> int:
+    """The end of the letters from here on."""
+    n = min(len(text), at + 16)
+    while at < n and text[at].isalpha():
         at += 1
+    return at
+
+
+def _identified(text: str, at: int, kind: str) -> int:
+    """The end of a valid identifier that starts here, 0 if there is none."""
     if kind == "iban":
         end, characters = at, []
         while end < len(text) and (text[end] in _ALNUM or (text[end] == " " and _run(text, end + 1, _ALNUM) > end + 1)):
             characters += [] if text[end] == " " else [text[end].upper()]
             end += 1
             if len(characters) >= 15 and _iban("".join(characters)) and (end == len(text) or text[end] not in _ALNUM):
-                found.append((kind, at, end))
-                return
+                return end
             if len(characters) > 34:
-                return
+                return 0
     elif at < len(text) and text[at] in _DIGITS:
         end, digits = _chain(text, at)
         if len(digits) == 9 if kind == "ssn" else 8 <= len(digits) <= 20:
-            found.append((kind, at, end))
+            return end
+    return 0
 
 
 def _iban(characters: str) -> bool:

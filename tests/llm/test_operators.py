@@ -482,6 +482,51 @@ def test_personal_data_the_method_adds():
     assert pii.mask("a x@y.zz b", [("email", 2, 8)]) == "a [EMAIL] b"
 
 
+IDENTIFIERS = [
+    ("account", "Account number: {}", "12345678"),
+    ("account", "account no. {}", "12345678"),
+    ("account", "ACCOUNT NO {}.", "12345678"),
+    ("account", "aCCount: {}", "1234 5678 90"),
+    ("account", "account_number={}", "12345678"),
+    ("account", '{{"accountNumber": "{}"}}', "12345678"),
+    ("account", "my bank account is {}", "12345678"),
+    ("account", "Kontonummer {}", "12345678"),
+    ("account", "Kontonummer lautet: {}", "12345678"),
+    ("account", "KONTONR. {}", "12345678"),
+    ("account", "Konto-Nr.: {}", "12345678"),
+    ("account", "Bankkonto Nr. {}", "12345678"),
+    ("account", "Kto. {}", "12345678"),
+    ("account", "numéro de compte : {}", "12345678"),
+    ("account", "Compte bancaire n° {}", "12345678"),
+    ("account", "COMPTE NUMÉRO {}", "12345678"),
+    ("account", "número de cuenta: {}", "12345678"),
+    ("account", "La cuenta bancaria es la {}", "12345678"),
+    ("account", "Cuenta N.º {}", "12345678"),
+    ("ssn", "SSN is {}", "123-45-6789"),
+    ("ssn", "Social Security Number: {}", "123-45-6789"),
+    ("ssn", "Ssn no. {}", "123456789"),
+    ("iban", "IBAN number is {}", "GB82 WEST 1234 5698 7654 32"),
+    ("iban", "iBan lautet {}", "DE89370400440532013000"),
+    ("iban", "IBAN: {}", "NO9386011117947"),
+    ("iban", "el IBAN es {}", "ES9121000418450200051332"),
+    ("account", "\u0130\u0130 account number {}", "12345678"),
+]
+
+
+@pytest.mark.parametrize("kind, form, number", IDENTIFIERS)
+def test_identifiers_in_usual_forms(kind, form, number):
+    text = form.format(number)
+    assert [(k, text[s:e]) for k, s, e in pii.spans_of(text, pii._anchors()) if k == kind] == [(kind, number)]
+
+
+@pytest.mark.parametrize(
+    "text", ["accountant 12345678", "le décompte 12345678", "account since 12345678", "Kontor 12345678", "SSN is 1234", "IBAN number GB83 WEST 1234 5698 7654 32", "Oktober 12345678", "account number is"]
+)
+def test_no_identifier_is_announced(text):
+    assert not [x for x in pii.spans_of(text, pii._anchors()) if x[0] in pii.KINDS[5:]]
+
+
+
 # Toxicity
 
 
