@@ -38,10 +38,14 @@ class Limits:
     loss_tokens: int = 2048
 
 
+# A document's piece has a token at least, so as many segments as tokens never close a sequence.
+TOKENS_ONLY = Limits(segments=Limits.tokens)
+
+
 def pack_documents(
     docs: DataFrame,
     vocabulary: bytes,
-    limits: Limits = Limits(),
+    limits: Limits = TOKENS_ONLY,
     end_id: int = 1,
     window: int = 512,
     keep_ids: bool = True,
@@ -52,8 +56,8 @@ def pack_documents(
 
     ``vocabulary`` is the content of a tokenizer file of the tokenizers library. Every id lies in
     exactly one piece; ``start`` counts the ids of its document before it, ``offset`` the place in
-    its sequence, ``ids`` are little-endian 32-bit integers. All ids of a document bear loss. A
-    null text is only ``end_id``; rows without an id and repeated rows are packed like any other.
+    its sequence, ``ids`` are little-endian 32-bit integers. All ids of a document bear loss. By
+    default only tokens are limited, so that many short texts fill a sequence as well. A null text is only ``end_id``; rows without an id and repeated rows are packed like any other.
 
     Sequences are numbered by task and place, so numbers are unique but not dense; a lost task is
     packed anew as a whole. Without ``keep_ids`` the ids themselves are null.
@@ -165,7 +169,7 @@ def _pack_texts(shared, limits: Limits, end_id: int, window: int, keep_ids: bool
         end = np.array([end_id], dtype="<u4").tobytes()
         waiting: list[list] = []  # id, start, ids, tokens of the document
         rows_out: list[tuple] = []
-        number = task = 0
+        number = task = held = 0  # held: tokens that wait
 
         def put(piece: list, length: int, offset: int) -> list | None:
             """The first ``length`` ids of a piece into the current sequence; the remaining piece."""
@@ -176,7 +180,7 @@ def _pack_texts(shared, limits: Limits, end_id: int, window: int, keep_ids: bool
 
         def fill(target: int) -> None:
             """One sequence of exactly ``target`` tokens if the segments allow, of fewer otherwise."""
-            nonlocal number
+            nonlocal number, held
             sizes = np.array([len(w[2]) // 4 for w in waiting], dtype=np.float64)
             demands = np.stack((sizes, np.ones(len(sizes)), sizes), axis=1) / most
             weights = _scarcity(demands)
@@ -195,6 +199,7 @@ def _pack_texts(shared, limits: Limits, end_id: int, window: int, keep_ids: bool
                     back.append(remaining)
                 left, segments, offset = left - length, segments - 1, offset + length
             number += 1
+            held -= offset
             waiting[:] = [w for w, g in zip(waiting, gone) if not g] + back
 
         def flush() -> pa.RecordBatch:
@@ -215,16 +220,15 @@ def _pack_texts(shared, limits: Limits, end_id: int, window: int, keep_ids: bool
                     number += 1
                 if piece is not None:
                     waiting.append(piece)
+                    held += len(piece[2]) // 4
                     if len(waiting) >= window:
-                        while len(waiting) > window // 2:
+                        while len(waiting) > window // 2 and held >= full:
                             fill(full)
                 if len(rows_out) >= 2000:
                     yield flush()
-        held = sum(len(w[2]) // 4 for w in waiting)
         while waiting:
             # Sizes that are powers of two need no padding; segments may end a sequence before.
             fill(full if held >= full else 1 << (held.bit_length() - 1))
-            held = sum(len(w[2]) // 4 for w in waiting)
         if rows_out:
             yield flush()
 

@@ -362,6 +362,18 @@ def test_packing_places_every_id_once(request, name):
     assert padding <= 0.01 * sum(p.length for p in pieces)
 
 
+def test_packing_fills_sequences_with_short_texts(spark):
+    """Neither a number of segments nor the window ends a sequence that short texts could go on."""
+    docs = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(9000)], "doc_id bigint, text string").coalesce(1)
+    pieces = packing.pack_documents(docs, queries.vocabulary(queries.BYTE_VOCABULARY)).collect()
+    assert {p.doc_id for p in pieces} == set(range(9000))
+    size = Counter()
+    for p in pieces:
+        size[p.sequence_id] += p.length
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in size.values()), size
+    assert sum(n < 2048 for n in size.values()) <= 11 and sum(size.values()) == sum(p.doc_tokens for p in pieces if p.start == 0)
+
+
 def test_packing_examples_keeps_all_limits(spark, none):
     rng = np.random.default_rng(8)
     rows = [(i, int(t), int(s), int(t * q)) for i, (t, s, q) in enumerate(zip(rng.integers(0, 900, 700), rng.integers(1, 7, 700), rng.random(700)))]
