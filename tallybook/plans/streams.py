@@ -26,13 +26,13 @@ class _Arriving(Bindings):
 
 def _recipe_log(b: Bindings) -> DataFrame:
     root = scratch_path(b.spark, "recipe-log")
-    append_actions(_Arriving(b.spark, b.sf_dir).recipe_log, f"{root}/log", f"{root}/state").awaitTermination()
+    append_actions(_Arriving(b.spark, b.sf_dir).recipe_feed, f"{root}/log", f"{root}/state").awaitTermination()
     return b.spark.read.parquet(f"{root}/log")
 
 
 def _recipe_counts(b: Bindings) -> DataFrame:
     root = scratch_path(b.spark, "recipe-counts")
-    count_actions(_Arriving(b.spark, b.sf_dir).recipe_log, f"{root}/out", f"{root}/state").awaitTermination()
+    count_actions(_Arriving(b.spark, b.sf_dir).recipe_feed, f"{root}/out", f"{root}/state").awaitTermination()
     return latest(b.spark, f"{root}/out", ["recipe_id", "action"])
 
 

@@ -42,12 +42,15 @@ def _bound_tables(b: Bindings) -> dict[str, DataFrame]:
 
 
 def _load_tables(b: Bindings) -> DataFrame:
-    """Rows of each table, and how many of them break its declaration."""
+    """Tables written and read back: rows of each, and how many of them break its declaration."""
+    root = scratch_path(b.spark, "tables")
+    bound = _bound_tables(b)
+    for name, df in bound.items():
+        tables.append_rows(df, f"{root}/{name}")
+    loaded = tables.load_tables(b.spark, {name: f"{root}/{name}" for name in bound})
     counted = [
-        tables.conform(df, name)
-        .withColumn("reason", tables.first_violation(name))
-        .select(F.lit(name).alias("table_name"), "reason")
-        for name, df in _bound_tables(b).items()
+        df.withColumn("reason", tables.first_violation(name)).select(F.lit(name).alias("table_name"), "reason")
+        for name, df in loaded.items()
     ]
     return (
         stack_metrics(*counted)

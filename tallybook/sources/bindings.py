@@ -209,19 +209,24 @@ class Bindings:
 
     @cached_property
     def recipe_log(self) -> DataFrame:
+        return self._recipe_actions(self.source("events").where(F.col("event_type").isin("view", "purchase", "click")))
+
+    @cached_property
+    def recipe_feed(self) -> DataFrame:
+        """Every event as an arriving action, kinds that the log does not know included."""
+        return self._recipe_actions(self.source("events"))
+
+    def _recipe_actions(self, events: DataFrame) -> DataFrame:
         kind = F.col("event_type")
-        return (
-            self.source("events")
-            .where(kind.isin("view", "purchase", "click"))
-            .select(
-                F.col("event_id").alias("id"),
-                F.col("user_id").alias("recipe_id"),
-                F.when(kind == "view", "viewed")
-                .when(kind == "purchase", "prepared")
-                .otherwise("printed")
-                .alias("action"),
-                F.col("ts").alias("created_at"),
-            )
+        return events.select(
+            F.col("event_id").alias("id"),
+            F.col("user_id").alias("recipe_id"),
+            F.when(kind == "view", "viewed")
+            .when(kind == "purchase", "prepared")
+            .when(kind == "click", "printed")
+            .otherwise(F.concat(F.lit("event "), kind))
+            .alias("action"),
+            F.col("ts").alias("created_at"),
         )
 
     @cached_property

@@ -47,6 +47,25 @@ def test_recipe_log(spark, folder):
     assert (1, "viewed", 2) in rows(counts)
 
 
+def test_recipe_queries_take_in_actions_to_refuse(spark, monkeypatch):
+    """What arrives at the registered streams holds every event, unknown actions too."""
+    from tallybook.plans import streams
+    from tallybook.schemas import RECIPE_ACTIONS
+    from tallybook.sources.bindings import Bindings
+
+    b = Bindings(spark, "/root/testdata/sf0.001")
+    feed = b.recipe_feed
+    assert feed.count() == b.source("events").count() > feed.where(feed.action.isin(*RECIPE_ACTIONS)).count()
+    arrived = []
+    for name in ("append_actions", "count_actions"):
+        own = getattr(streams, name)
+        monkeypatch.setattr(streams, name, lambda df, *a, own=own: arrived.append(df) or own(df, *a))
+    logged, counted = (streams.QUERIES[f"stream_recipe_{x}"](b) for x in ("log", "counts"))
+    assert len(arrived) == 2 and not any("Filter" in df._jdf.queryExecution().analyzed().toString() for df in arrived)
+    assert sorted(rows(logged), key=str) == sorted(rows(b.recipe_log), key=str)
+    assert sorted(rows(counted)) == sorted(rows(action_counts(feed)))
+
+
 SALES = "order_date timestamp_ntz, total_amount decimal(10,2)"
 
 

@@ -77,3 +77,14 @@ def test_scratch_tables_live_in_the_named_folder(spark):
     kept = materialize(frame(spark, "a int", [(1,)]))
     assert rows(kept) == [(1,)]
     assert all(f.startswith(f"file://{scratch_root(spark)}/") for f in kept.inputFiles())
+
+
+def test_load_tables_query_reads_files(spark, monkeypatch):
+    from tallybook.plans import writes
+    from tallybook.sources.bindings import Bindings
+
+    read = []
+    own = tables.load_tables
+    monkeypatch.setattr(tables, "load_tables", lambda s, paths, *a: read.append(paths) or own(s, paths, *a))
+    found = writes._load_tables(Bindings(spark, "/root/testdata/sf0.001")).collect()
+    assert len(read) == 1 and set(read[0]) == {r.table_name for r in found} and len(found) == 11
