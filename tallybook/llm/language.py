@@ -49,8 +49,8 @@ def fit_languages(
 
     Document frequencies cover all of them. Centroids are fitted on about ``rows_per_language`` rows
     of each language (all, if there are fewer), chosen by a hash of id and text, and at most 4096 rows
-    in all; the ``rejected`` share of them that lies farthest from its centroid sets the limit of
-    rejection. More than ``most_languages`` languages raise an error. Without any learnable row the
+    in all; the ``rejected`` share of a language's that lies farthest from its centroids sets the
+    limit of rejection of each of them. More than ``most_languages`` languages raise an error. Without any learnable row the
     model knows no language and everything is unknown.
     """
     prepare(docs.sparkSession)
@@ -88,7 +88,7 @@ def fit_languages(
             near = (own @ found.T).max(axis=1)
             centroids.append(found)
             of += [k] * len(found)
-            limit += [float(np.quantile(near, rejected)) / 2] * len(found)
+            limit += [float(np.quantile(near, rejected))] * len(found)
     return LanguageModel(languages, idf, np.concatenate(centroids or [np.zeros((0, BUCKETS), dtype=np.float32)]), np.array(of, dtype=int), np.array(limit))
 
 

@@ -415,6 +415,25 @@ def test_language_of_held_out_documents(spark, odd, none):
     assert {r.lang_pred for r in language.identify_languages(odd, nothing).collect()} == {"und"}
 
 
+def test_language_rejects_the_share_asked_for(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    for share in (0.02, 0.1):
+        model = language.fit_languages(docs, F.lit(True), rejected=share, rows_per_language=4096)
+        found = language.identify_languages(docs.where("text IS NOT NULL AND lang IS NOT NULL"), model).collect()
+        gone = sum(r.rejected for r in found) / len(found)
+        assert 0.5 * share <= gone <= 2 * share, (share, gone)
+
+
+def test_language_left_out_is_rejected_more_often(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+        model = language.fit_languages(docs, F.col("lang") != lang)
+        found = language.identify_languages(docs, model).groupBy((F.col("lang") == lang).alias("foreign")).agg(F.avg(F.col("rejected").cast("int")).alias("gone"))
+        gone = {r.foreign: r.gone for r in found.collect()}
+        print("left out", lang, gone)
+        assert gone[True] > 0.5 and gone[False] < 0.02, (lang, gone)
+
+
 # Top-k
 
 
