@@ -1,8 +1,8 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 The tokens that end at a place of a word are the vocabulary's matches that are suffixes of the
-prefix up to it, which a suffix automaton over the vocabulary yields in one pass. Exactly one of
-them can be the last token of the prefix's encoding: the one that fits the last token of the
+prefix up to it, which an Aho-Corasick automaton over the vocabulary, in place of a suffix
+automaton, yields in one pass; the matches are the same. Exactly one of them can be the last token of the prefix's encoding: the one that fits the last token of the
 prefix before it, which means that merging the two tokens' strings would end in these two tokens
 again. The last token of every prefix is stored, and back-pointers give the ids.
 """
