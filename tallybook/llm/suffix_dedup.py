@@ -3,8 +3,8 @@
 A string of ``length`` bytes that occurs twice contains, at the same place, the ``anchor`` bytes
 whose hash is smallest in it. Every window of ``length`` bytes is given to that anchor, and the
 windows of one anchor in one document follow each other, so a corpus is cut into short pieces
-that can only share a window if they share their anchor. Equal pieces are settled by their
-hashes. Pieces that differ but share an anchor go to shards; a shard's pieces get a suffix array
+that can only share a window if they share their anchor. Equal pieces are settled by two 64-bit
+hashes, without comparing bytes; that is where most repeats go. Pieces that differ but share an anchor go to shards; a shard's pieces get a suffix array
 by induced sorting, and runs of suffixes with common prefixes of ``length`` bytes are the
 repeated windows. The earliest of each run stays.
 
