@@ -1,7 +1,9 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 Texts are folded to 28 symbols: accents and case go, look-alike digits become letters, punctuation
-is dropped and white space becomes one border. The kernel compares two strings by the sequences of
+is dropped and white space becomes one border. That holds for Latin letters and signs below U+0250;
+every character from there on, of other scripts and punctuation alike, folds to one symbol, so texts
+in them cannot be told apart. The kernel compares two strings by the sequences of
 four symbols they share, gaps of up to three symbols allowed and each gap counted less, so an
 insult with an inserted character still meets its plain form.
 
