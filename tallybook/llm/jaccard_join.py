@@ -9,9 +9,10 @@ one shingle (1), found through the keys of a subset with each one of its shingle
 segments get 1 in return for others that get -1 is decided by the candidates a sample shows them to
 bring and by the keys they cost. Every segment at 0 is the allocation to start from.
 
-Sets that share a key are candidates. They are verified in two steps, both exact: first every set
-with the smallest set of each of its keys; then, among the sets that met the same smallest one,
-those the links so far leave in another component with all the rest.
+Sets that share a key are candidates. All that met the same smallest set at a key are one group,
+which holds every candidate pair of that key. Groups are verified exactly, in parts of a bounded
+size: within each part, then, of large groups, the sets not yet in one component with the smallest
+against the other parts. Pairs already in one component are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ BAND_STEPS = 3
 # Schemes with more segments keep all of them at 0.
 ALLOCATED_SEGMENTS = 4096
 # Shingles of one part of a group that is verified at once.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 17
 # Weight of a candidate against that of a key.
 CANDIDATE_COST = 4.0
 # Share of the sampled sets that makes a key a hot one.
@@ -82,9 +83,10 @@ def jaccard_groups(
     sampled = materialize(texts.select("text").sample(False, share, 11), "sample")
     allocation = _allocation(sampled, shingle, percent, share)
     fields = "id long, h long, d1 long, d2 long, n long, keys array<long>"
-    prints = materialize(
-        spread(texts, F.col("id"), F.col("h")).mapInArrow(_print(shingle, percent, allocation), fields), "prints"
-    )
+    # Texts are read in place; only an input in fewer splits than there are cores is dealt out.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    dealt = texts if texts.rdd.getNumPartitions() >= cores else spread(texts, F.col("id"), F.col("h"))
+    prints = materialize(dealt.mapInArrow(_print(shingle, percent, allocation), fields), "prints")
     hot = _hot_keys(sampled, shingle, percent, allocation)
     classes = _classes(prints)
     met = _met(prints, classes, hot)
@@ -137,46 +139,44 @@ def _linked(
     holders = materialize(classes.join(wanted, "node", "left_semi").select("node", "d1", "d2", "id", "h"), "holders")
     holders = holders.withColumnsRenamed({"id": "_id", "h": "_h"})
     same = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))
-    own = texts.join(holders, same).select("node", "d1", "d2", "text")
+    own = texts.hint("merge").join(holders, same).select("node", "d1", "d2", "text")
     sets = materialize(own.mapInArrow(_shingles_of(shingle), "node long, shingles binary"), "shingles")
 
-    pairs = (
-        met.select("rep", "node")
-        .join(sets, "node")
-        .join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("other")), "rep")
-    )
-    links = materialize(pairs.mapInArrow(_verify(percent), "a long, b long"), "verified")
+    # Every group, the sets that met one smallest set, in parts of a bounded size.
+    sizes = met.groupBy("rep").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"))
+    sizes = materialize(sizes, "groups")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    members = materialize(met.join(sizes, "rep").select("rep", part, "node", "parts"), "members")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    visits = members.select("rep", "part", "node").unionByName(sizes.select("rep", every, F.col("rep").alias("node")))
+    links = materialize(_dealt(visits, sets).mapInArrow(_resolve(percent), "a long, b long"), "verified")
     roots = connected(links)
 
+    # What is left are pairs of different parts, of which one is not yet with the smallest set.
+    several = members.where("parts > 1")
     label = lambda name: F.coalesce(F.col("root"), F.col(name))
-    labelled = met.join(roots, "node", "left").select("rep", "node", "n", label("node").alias("part_of"))
+    labelled = several.join(roots, "node", "left").select("rep", "part", "node", "parts", label("node").alias("part_of"))
     of_rep = roots.select(F.col("node").alias("rep"), "root")
     labelled = materialize(
         labelled.join(of_rep, "rep", "left").select(
-            "rep", "node", "n", "part_of", (F.col("part_of") != label("rep")).alias("apart")
+            "rep", "part", "node", "parts", "part_of", (F.col("part_of") != label("rep")).alias("apart")
         ),
         "labelled",
     )
-    # The smallest set of a group has met all the others, so a group needs two more to go on.
-    groups = labelled.groupBy("rep").agg(
-        F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"),
-        F.count(F.lit(1)).alias("sets"),
-        F.max("apart").alias("open"),
-    )
-    groups = materialize(groups.where("open AND sets > 1").select("rep", "parts"), "groups")
-    left = labelled.join(groups, "rep")
-    at_home = left.select(
-        "rep", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "node", "part_of"
-    )
-    asking = left.where("apart").select(
-        "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "part_of"
-    )
-    visits = at_home.unionByName(asking).join(sets, "node")
-    dealt = visits.repartition("rep", "part").sortWithinPartitions("rep", "part", "asks")
-    more = dealt.select("rep", "part", "asks", "node", "part_of", "shingles").mapInArrow(_ask(percent), "a long, b long")
+    open_groups = labelled.groupBy("rep").agg(F.max("apart").alias("open")).where("open").select("rep")
+    left = labelled.join(materialize(open_groups, "open"), "rep")
+    at_home = left.select("rep", "part", F.lit(False).alias("asks"), "node", "part_of")
+    asking = left.where("apart").select("rep", every, F.lit(True).alias("asks"), "node", "part_of")
+    more = _dealt(at_home.unionByName(asking), sets, "asks").mapInArrow(_ask(percent), "a long, b long")
     return connected(links.unionByName(more))
 
 
+def _dealt(visits: DataFrame, sets: DataFrame, *order: str) -> DataFrame:
+    """Visits with their sets, those of one part of a group next to each other."""
+    met = visits.hint("merge").join(sets, "node")
+    return met.repartition("rep", "part").sortWithinPartitions("rep", "part", *order)
+
+
 def _with_components(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     grouped = classes.join(roots, "node", "left").select("d1", "d2", "first", F.coalesce("root", "node").alias("root"))
     smallest = materialize(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
@@ -421,18 +421,6 @@ def _as_set(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            rep, node = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "node"))
-            sets, others = rows.column("shingles"), rows.column("other")
-            linked = [alike(_as_set(sets[i]), _as_set(others[i]), percent) for i in range(rows.num_rows)]
-            linked = np.array(linked, dtype=bool)
-            yield batch(_LINKS, rep[linked], node[linked])
-
-    return run
-
-
 def _cells(shingles: np.ndarray, count: int) -> np.ndarray:
     """A byte for each of ``count`` cells of the universe; sets differ in no fewer shingles than cells."""
     cell = ((shingles >> _HIGH) * np.uint64(count) >> _HIGH).astype(np.int64)
@@ -441,61 +429,96 @@ def _cells(shingles: np.ndarray, count: int) -> np.ndarray:
     return (_mixed(total[edge[1:]] - total[edge[:-1]]) >> np.uint64(56)).astype(np.uint8)
 
 
-def _ask(percent: int, rows_at_once: int = 4096):
-    """Task function over the visits of each part of a group: links of the asking sets to those at home.
+class _Group:
+    """Sets at home in one part of a group, with the components they are known to be in."""
 
-    Of the sets at home in one component a single link is enough.
-    """
+    def __init__(self, nodes: list[int], sets: list[np.ndarray], labels: list[int]):
+        self.nodes, self.sets, self.labels = np.array(nodes), sets, np.array(labels)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        count = int(min(max(64, self.sizes.mean() // 2), 4096))
+        self.cells = np.stack([_cells(s, count) for s in sets])
 
-    def links_of(node: int, part_of: int, own: np.ndarray, home) -> tuple[list[int], list[int]]:
-        nodes, parts, sizes, sets, cells = home
-        found: set[int] = {part_of}
-        a, b = [], []
-        mine = _cells(own, cells.shape[1])
-        both = sizes + len(own)
+    def links(self, own: np.ndarray, label: int, percent: int, at_once: int = 4096) -> list[int]:
+        """Places of sets alike to one of component ``label``, one of each other component."""
+        mine = _cells(own, self.cells.shape[1])
+        both = self.sizes + len(own)
         # Alike sets share at least this many, so differ in no more than the rest.
         most = both - 2 * (-(-percent * both // (100 + percent)))
-        for i in range(0, len(nodes), rows_at_once):
-            part = slice(i, i + rows_at_once)
-            close = (cells[part] != mine).sum(axis=1) <= most[part]
-            close &= (np.abs(sizes[part] - len(own)) <= most[part]) & (parts[part] != part_of)
+        found, places = {label}, []
+        for i in range(0, len(self.sets), at_once):
+            some = slice(i, i + at_once)
+            close = (self.labels[some] != label) & (np.abs(self.sizes[some] - len(own)) <= most[some])
+            close[close] &= (self.cells[some][close] != mine).sum(axis=1) <= most[some][close]
             for k in np.flatnonzero(close) + i:
-                if parts[k] not in found and alike(own, sets[k], percent):
-                    found.add(int(parts[k]))
-                    a.append(node)
-                    b.append(int(nodes[k]))
+                if self.labels[k] not in found and alike(own, self.sets[k], percent):
+                    found.add(self.labels[k])
+                    places.append(int(k))
+        return places
+
+
+def _resolve(percent: int):
+    """Task function over the visits of each part of a group: links that connect what is alike in it."""
+
+    def links_of(rep: int, members: dict[int, np.ndarray]) -> tuple[list[int], list[int]]:
+        first = members.pop(rep)
+        a, b = [], []
+        with_first = [alike(first, own, percent) for own in members.values()]
+        for node, linked in zip(members, with_first):
+            if linked:
+                a.append(rep)
+                b.append(node)
+        if len(members) > 1 and not all(with_first):
+            nodes, sets = list(members), list(members.values())
+            group = _Group(nodes, sets, [-1 if linked else i for i, linked in enumerate(with_first)])
+            for i in np.flatnonzero(~np.array(with_first)):
+                for k in group.links(sets[i], group.labels[i], percent):
+                    a.append(nodes[i])
+                    b.append(nodes[k])
+                    group.labels[group.labels == group.labels[k]] = group.labels[i]
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, gathered, home = None, [], None
+        current, members = None, {}
+        for rows in batches:
+            rep, part, node = (rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("rep", "part", "node"))
+            sets = rows.column("shingles")
+            a, b = [], []
+            for i in range(rows.num_rows):
+                if (rep[i], part[i]) != current:
+                    if members:
+                        more = links_of(current[0], members)
+                        a, b = a + more[0], b + more[1]
+                    current, members = (rep[i], part[i]), {}
+                members[node[i]] = _as_set(sets[i]).copy()
+            yield batch(_LINKS, a, b)
+        if members:
+            yield batch(_LINKS, *links_of(current[0], members))
+
+    return run
+
+
+def _ask(percent: int):
+    """Task function over the visits of each part of a group: links of the asking sets to those at home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at_home, group = None, [], None
         for rows in batches:
             rep, part, node, part_of = (
-                rows.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "part", "node", "part_of")
+                rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("rep", "part", "node", "part_of")
             )
             asks = rows.column("asks").to_numpy(zero_copy_only=False)
             sets = rows.column("shingles")
             a, b = [], []
             for i in range(rows.num_rows):
                 if (rep[i], part[i]) != current:
-                    current, gathered, home = (rep[i], part[i]), [], None
+                    current, at_home, group = (rep[i], part[i]), [], None
                 if not asks[i]:
-                    gathered.append((node[i], part_of[i], _as_set(sets[i]).copy()))
-                    continue
-                if not gathered:
-                    continue
-                if home is None:
-                    sizes = np.array([len(g[2]) for g in gathered], dtype=np.int64)
-                    count = int(min(max(64, sizes.mean() // 2), 4096))
-                    home = (
-                        np.array([g[0] for g in gathered]),
-                        np.array([g[1] for g in gathered]),
-                        sizes,
-                        [g[2] for g in gathered],
-                        np.stack([_cells(g[2], count) for g in gathered]),
-                    )
-                own_a, own_b = links_of(int(node[i]), int(part_of[i]), _as_set(sets[i]), home)
-                a += own_a
-                b += own_b
+                    at_home.append((node[i], _as_set(sets[i]).copy(), part_of[i]))
+                elif at_home:
+                    group = group or _Group(*map(list, zip(*at_home)))
+                    found = group.links(_as_set(sets[i]), part_of[i], percent)
+                    a += [node[i]] * len(found)
+                    b += group.nodes[found].tolist()
             yield batch(_LINKS, a, b)
 
     return run
