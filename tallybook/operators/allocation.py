@@ -9,23 +9,38 @@ bounds of the stock left at that order's turn:
 * ``least`` = ``most`` − what earlier *open* orders might use
 
 An order with a line above ``most`` is refused, and what it asked for no longer counts against
-later ones in the same round; an order whose lines all fit into ``least`` is taken. The earliest
-open order has equal bounds, so each round settles at least one; in practice a few rounds settle
-all. A round writes one table: the open rows with their bounds and verdicts.
+later ones in the same round; an order whose lines all fit into ``least`` is taken. A round writes
+one table, the open rows with their bounds, and puts the rows it settles into one folder.
+
+Rounds go on as long as each settles a good share of what is open. A chain of orders that hang on
+each other's outcome would then go on one by one, so what is left is split into components, orders
+linked through scarce products, and every component is walked in order by a task of its own, up to
+a stated number of rows. So the number of rounds does not grow with the length of chains: a walk
+settles all of a component, or that many of its rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallybook.functions.graph import components
 from tallybook.functions.rows import dense_index, sum_before
-from tallybook.sources.scratch import materialize
+from tallybook.sources.scratch import materialize, scratch_path
 
 # Orders per block of a running sum: what one task sums of one product.
 BLOCK_ORDERS = 100_000
+# Rows of one component that a task walks at once.
+WALK_ROWS = 200_000
+# Share of the open rows a round must settle for another one to follow.
+ROUND_SHARE = 0.5
+
+_ROWS = "seq bigint, product_id bigint, demand bigint, need bigint, most bigint, accepted boolean"
 
 
 class Allocation(NamedTuple):
@@ -33,40 +48,92 @@ class Allocation(NamedTuple):
     shortages: DataFrame  # feed_id, product_id, product, available, requested
 
 
-def _round(rows: DataFrame, block_orders: int) -> DataFrame:
-    """Open rows with ``most`` brought up to date, and the verdicts this round comes to.
+def _deducted(rows: DataFrame, block_orders: int) -> DataFrame:
+    """Open rows with ``most`` brought up to date.
 
-    What the last round took is deducted from ``most`` of the later rows of its products, once;
+    What the last step took is deducted from ``most`` of the later rows of its products, once;
     after that neither its rows nor those it refused are needed any more.
     """
-    order = Window.partitionBy("seq")
     taken = F.coalesce("accepted", F.lit(False))
     current = rows.where(F.col("accepted").isNull() | taken)
     current = current.withColumn("used", F.when(taken, F.col("demand")).otherwise(0))
-    open_rows = (
+    return (
         sum_before(current, "product_id", "seq", ["used"], block_orders)
         .where(F.col("accepted").isNull())
-        .withColumn("most", F.col("most") - F.col("used_before"))
-        .withColumn("_fails", F.max(F.col("need") > F.col("most")).over(order))
-        .withColumn("wanted", F.when(F.col("_fails"), 0).otherwise(F.col("demand")))
+        .select("seq", "product_id", "demand", "need", (F.col("most") - F.col("used_before")).alias("most"))
+    )
+
+
+def _round(open_rows: DataFrame, block_orders: int) -> DataFrame:
+    """Open rows with the verdicts their bounds come to."""
+    order = Window.partitionBy("seq")
+    judged = open_rows.withColumn("_fails", F.max(F.col("need") > F.col("most")).over(order)).withColumn(
+        "wanted", F.when(F.col("_fails"), 0).otherwise(F.col("demand"))
     )
-    bounded = sum_before(open_rows, "product_id", "seq", ["wanted"], block_orders)
+    bounded = sum_before(judged, "product_id", "seq", ["wanted"], block_orders)
     fits = F.min(F.col("need") <= F.col("most") - F.col("wanted_before")).over(order)
     verdict = F.when(F.col("_fails"), F.lit(False)).when(fits, F.lit(True))
     return bounded.select("seq", "product_id", "demand", "need", "most", verdict.alias("accepted"))
 
 
+def _walk(rows: DataFrame, walk_rows: int) -> DataFrame:
+    """Open rows, all with ``most`` of this moment, with the verdicts a walk of each component comes to.
+
+    Of a component of more than ``walk_rows`` rows the first so many are walked, as far as they
+    hold whole orders.
+    """
+    first = rows.groupBy("product_id").agg(F.min("seq").alias("b"))
+    links = rows.select("product_id", F.col("seq").alias("a")).join(materialize(first, "first"), "product_id")
+    linked = rows.join(components(links.select("a", "b")).withColumnRenamed("node", "seq"), "seq")
+    placed = dense_index(
+        linked.select(*rows.columns, "root"),
+        [F.col("root"), F.col("seq"), F.col("product_id")],
+        "_n",
+        ["root"],
+        "_at",
+    )
+    # One row more than a walk may hold tells it that its last order may go on.
+    walked = placed.where(F.col("_at") <= walk_rows).groupBy("root").applyInPandas(_in_turn(walk_rows), _ROWS)
+    later = placed.where(F.col("_at") > walk_rows).select(*rows.columns)
+    return walked.unionByName(later, allowMissingColumns=True)
+
+
+def _in_turn(walk_rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Orders of one component one after the other, against what each product has left."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["seq", "product_id"])
+        cut = rows["seq"].iloc[-1] if len(rows) > walk_rows else None
+        lines = rows[["seq", "product_id", "demand", "need", "most"]].itertuples(index=False, name=None)
+        taken: dict[int, int] = {}  # per product, what orders taken in this walk use
+        verdicts = {}
+        for seq, asked in groupby(lines, itemgetter(0)):
+            if seq == cut:
+                break
+            asked = list(asked)
+            verdicts[seq] = all(need <= most - taken.get(product, 0) for _, product, _, need, most in asked)
+            if verdicts[seq]:
+                for _, product, demand, _, _ in asked:
+                    taken[product] = taken.get(product, 0) + demand
+        found = rows["seq"].map(verdicts).astype("boolean")
+        return rows[["seq", "product_id", "demand", "need", "most"]].assign(accepted=found)
+
+    return walk
+
+
 def allocate_stock(
     orders: DataFrame,
     items: DataFrame,
     products: DataFrame,
     strict: bool = False,
     block_orders: int = BLOCK_ORDERS,
+    walk_rows: int = WALK_ROWS,
 ) -> Allocation:
     """Settle a batch. ``orders``: feed_id, arrival_seq; ``items``: feed_id, product_id, quantity.
 
     Each line is checked alone, so two lines of one product may together exceed the stock;
-    ``strict`` checks their sum instead. Quantities must be positive.
+    ``strict`` checks their sum instead. Quantities must be positive. ``walk_rows`` bounds what a
+    task walks of one component; it must hold the lines of more than one order.
     """
     numbered = dense_index(
         orders.select("feed_id", "arrival_seq"), [F.col("arrival_seq"), F.col("feed_id")], "seq"
@@ -97,13 +164,20 @@ def allocate_stock(
     )
     rows = all_rows.withColumnRenamed("stock", "most").drop("feed_id")
     rows = rows.withColumn("accepted", F.lit(None).cast("boolean"))
-    rounds: list[DataFrame] = []
+    folder = scratch_path(rows.sparkSession, "settled")
+    walk = False
     while True:
-        rows = materialize(_round(rows, block_orders), "round")
-        rounds.append(rows.where(F.col("accepted").isNotNull()).select("seq", "accepted").distinct())
-        if rows.where(F.col("accepted").isNull()).isEmpty():
+        left = _deducted(rows, block_orders)
+        rows = _walk(materialize(left, "open"), walk_rows) if walk else _round(left, block_orders)
+        rows = materialize(rows, "walk" if walk else "round")
+        decided = F.col("accepted").isNotNull()
+        rows.where(decided).select("seq", "accepted").distinct().write.mode("append").parquet(folder)
+        count, still_open = rows.agg(F.count(F.lit(1)), F.count_if(~decided)).first()
+        if not still_open:
             break
-    settled = reduce(DataFrame.unionByName, rounds)
+        # Where a round no longer gets far, components are walked; a round follows a walk.
+        walk = not walk and still_open > (1 - ROUND_SHARE) * count
+    settled = rows.sparkSession.read.schema("seq bigint, accepted boolean").parquet(folder)
     verdicts = materialize(
         numbered.join(settled, "seq", "left").select(
             "feed_id", "seq", F.coalesce("accepted", F.lit(True)).alias("accepted")

@@ -133,22 +133,28 @@ FROM bo_orders_feed f LEFT JOIN faults w ON w.feed_id = f.feed_id)"""
 
 
 def _walked(sales: str) -> str:
-    """``queue`` numbers the sales; ``walk`` has the stocks after each and whether it was taken."""
+    """``queue`` numbers the sales, ``walk`` says which were taken, ``turns`` what each line found.
+
+    Lines of one product wait for each other; a sale has its turn when all its lines are the next
+    of their product. A step of the recursion serves all sales that have theirs.
+    """
     return f"""
-, stock AS (SELECT id, name, row_number() OVER (ORDER BY id) AS i, CAST(current_stock AS BIGINT) * {STOCK_FACTOR} AS s
-  FROM bo_products),
+, stock AS (SELECT id, name, CAST(current_stock AS BIGINT) * {STOCK_FACTOR} AS s FROM bo_products),
 queue AS (SELECT feed_id, row_number() OVER (ORDER BY arrival_seq, feed_id) AS seq FROM bo_orders_feed WHERE {sales}),
 wanted AS (SELECT feed_id, product_id, CAST(SUM(quantity) AS BIGINT) AS d, CAST(MAX(quantity) AS BIGINT) AS n
   FROM bo_items_feed GROUP BY feed_id, product_id),
-asked AS (SELECT q.seq, list({{'i': k.i, 'd': w.d, 'n': w.n}}) AS lines FROM queue q
-  JOIN wanted w ON w.feed_id = q.feed_id JOIN stock k ON k.id = w.product_id GROUP BY q.seq),
-walk(seq, st, ok) AS (
-  SELECT CAST(0 AS BIGINT), (SELECT list(s ORDER BY i) FROM stock), true
+waiting AS (SELECT q.seq, w.product_id, w.d, w.n, row_number() OVER (PARTITION BY w.product_id ORDER BY q.seq) AS place,
+    count(*) OVER (PARTITION BY q.seq) AS width
+  FROM queue q JOIN wanted w ON w.feed_id = q.feed_id JOIN stock k ON k.id = w.product_id),
+turns(product_id, place, st, seq, available, ok) AS (
+  SELECT id, CAST(1 AS BIGINT), s, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM stock
   UNION ALL
-  SELECT seq, CASE WHEN fits THEN list_transform(st, lambda v, i:
-      CAST(v - COALESCE(list_sum([e.d for e in lines if e.i = i]), 0) AS BIGINT)) ELSE st END, fits
-  FROM (SELECT q.seq, w.st, a.lines, COALESCE(len([e for e in a.lines if w.st[e.i] < e.n]), 0) = 0 AS fits
-    FROM walk w JOIN queue q ON q.seq = w.seq + 1 LEFT JOIN asked a ON a.seq = q.seq))"""
+  SELECT product_id, place + CASE WHEN ready THEN 1 ELSE 0 END, st - CASE WHEN ready AND fits THEN d ELSE 0 END,
+    CASE WHEN ready THEN seq END, st, fits
+  FROM (SELECT w.product_id, w.place, t.st, w.seq, w.d, count(*) OVER (PARTITION BY w.seq) = w.width AS ready,
+      bool_and(t.st >= w.n) OVER (PARTITION BY w.seq) AS fits
+    FROM turns t JOIN waiting w ON w.product_id = t.product_id AND w.place = t.place)),
+walk AS (SELECT q.seq, COALESCE(bool_and(t.ok), true) AS ok FROM queue q LEFT JOIN turns t ON t.seq = q.seq GROUP BY q.seq)"""
 
 
 def _recursive(body: str, *names: str) -> str:
@@ -165,6 +171,60 @@ refused AS (SELECT feed_id, reject_reason FROM checked WHERE reject_reason IS NO
     + _numbers("taken")
 )
 
+_INTAKE_TABLES = ("bo_products", "bo_customers", "bo_orders", "bo_order_items", "bo_ledger", "bo_orders_feed", "bo_items_feed")
+
+
+def _stacked(table: str, key: str, other: str, amount: str, texts: list[str], source: str) -> str:
+    detail = " || '|' || ".join(f"COALESCE(CAST({t} AS VARCHAR), '')" for t in texts)
+    return f"""SELECT '{table}' AS table_name, CAST({key} AS BIGINT) AS key, CAST({other} AS BIGINT) AS other_key,
+  CAST({amount} AS DOUBLE) AS amount, {detail} AS detail FROM {source}"""
+
+
+_ORDER_TEXTS = ["order_number", "channel", "status", "day", "payment_method"]
+_ENTRY_TEXTS = ["description", "type", "category", "transaction_date"]
+
+_TABLES_AFTER = (
+    _TAKEN_IN
+    + _customers("taken")
+    + f"""
+, totals AS (SELECT feed_id, SUM(quantity * {_PRICE}) AS total_amount FROM bo_items_feed GROUP BY feed_id),
+booked AS (SELECT t.feed_id, row_number() OVER (ORDER BY t.arrival_seq, t.feed_id) AS n, u.order_number,
+    COALESCE(k.customer_id, c.id) AS customer_id, s.total_amount, t.status, t.channel AS said, lower(t.channel) AS channel,
+    CAST(t.order_date AS TIMESTAMP) AS order_date, CAST(CAST(t.order_date AS TIMESTAMP) AS DATE) AS day, t.payment_method
+  FROM taken t JOIN numbers u ON u.feed_id = t.feed_id JOIN feed d ON d.feed_id = t.feed_id
+  JOIN totals s ON s.feed_id = t.feed_id LEFT JOIN known k ON k.k = d.k LEFT JOIN created c ON c.k = d.k),
+old_orders AS (SELECT *, CAST(order_date AS DATE) AS day FROM bo_orders),
+new_orders AS (SELECT (SELECT MAX(id) FROM bo_orders) + n AS id, * FROM booked),
+new_items AS (SELECT o.id AS order_id, i.line_no AS line_number, i.product_id, i.quantity, {_PRICE} AS unit_price
+  FROM new_orders o JOIN bo_items_feed i ON i.feed_id = o.feed_id),
+new_entries AS (SELECT (SELECT MAX(id) FROM bo_ledger) + n AS id,
+    CONCAT('Venda ', order_number, ' (', said, ')') AS description, total_amount AS amount, 'entrada' AS type,
+    'venda' AS category, day AS transaction_date FROM new_orders),
+after_sales AS (SELECT p.id, p.name, p.current_stock * {STOCK_FACTOR} - COALESCE(s.q, 0) AS stock FROM bo_products p
+  LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM new_items GROUP BY product_id) s ON s.product_id = p.id)
+"""
+    + "\nUNION ALL\n".join(
+        [
+            _stacked("decisions", "feed_id", "NULL", "NULL", ["order_number", "NULL"], "numbers"),
+            _stacked("decisions", "feed_id", "NULL", "NULL", ["NULL", "reject_reason"], "refused"),
+            *[_stacked("customers", "id", "NULL", "NULL", ["name"], t) for t in ("bo_customers", "created")],
+            _stacked("products", "id", "NULL", "stock", ["name"], "after_sales"),
+            *[
+                _stacked("orders", "id", "customer_id", "total_amount", _ORDER_TEXTS, t)
+                for t in ("old_orders", "new_orders")
+            ],
+            *[
+                _stacked("order_items", "order_id", "product_id", "unit_price", ["line_number", "quantity"], t)
+                for t in ("bo_order_items", "new_items")
+            ],
+            *[
+                _stacked("financial_transactions", "id", "NULL", "amount", _ENTRY_TEXTS, t)
+                for t in ("bo_ledger", "new_entries")
+            ],
+        ]
+    )
+)
+
 _REVISION = f"""
 , ch AS (SELECT o_orderkey AS change_id, o_custkey AS id,
     CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'archived' END AS status,
@@ -319,10 +379,10 @@ FROM bo_order_items WHERE order_id IN (SELECT id FROM p) GROUP BY order_id, prod
     "intake_shortages": _recursive(
         _walked("true")
         + """
-SELECT i.feed_id, i.product_id, k.name AS product, b.st[k.i] AS available, i.quantity AS requested
-FROM walk w JOIN walk b ON b.seq = w.seq - 1 JOIN queue q ON q.seq = w.seq
-JOIN bo_items_feed i ON i.feed_id = q.feed_id JOIN stock k ON k.id = i.product_id
-WHERE NOT w.ok AND i.quantity > b.st[k.i]""",
+SELECT i.feed_id, i.product_id, k.name AS product, t.available, i.quantity AS requested
+FROM turns t JOIN queue q ON q.seq = t.seq
+JOIN bo_items_feed i ON i.feed_id = q.feed_id AND i.product_id = t.product_id JOIN stock k ON k.id = i.product_id
+WHERE NOT t.ok AND i.quantity > t.available""",
         "bo_products",
         "bo_orders_feed",
         "bo_items_feed",
@@ -343,6 +403,7 @@ UNION ALL SELECT feed_id, NULL, NULL, NULL, reject_reason FROM refused""",
         "bo_orders_feed",
         "bo_items_feed",
     ),
+    "order_intake_tables": _recursive(_TABLES_AFTER, *_INTAKE_TABLES),
     "intake_order_numbers": with_tables(
         _numbers("bo_orders_feed") + " SELECT feed_id, order_number FROM numbers",
         "bo_orders_feed",

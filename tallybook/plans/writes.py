@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -281,6 +282,45 @@ def _order_intake(b: Bindings) -> DataFrame:
     return accepted.unionByName(done.rejected, allowMissingColumns=True)
 
 
+def taken_in(state: intake.State, decided: DataFrame) -> DataFrame:
+    """Every table an intake leaves behind, and what was decided, stacked: the key and the values of each row."""
+
+    def told(table: str, rows: DataFrame, key: str, other: str | None, amount: str | None, *texts: str) -> DataFrame:
+        nothing = F.lit(None)
+        return rows.select(
+            F.lit(table).alias("table_name"),
+            F.col(key).cast("bigint").alias("key"),
+            (F.col(other) if other else nothing).cast("bigint").alias("other_key"),
+            (F.col(amount) if amount else nothing).cast("double").alias("amount"),
+            F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts]).alias("detail"),
+        )
+
+    orders = state["orders"].withColumn("day", F.to_date("order_date"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            told("decisions", decided, "feed_id", None, None, "order_number", "reject_reason"),
+            told("customers", state["customers"], "id", None, None, "name"),
+            told("products", state["products"], "id", None, "current_stock", "name"),
+            told(
+                "orders", orders, "id", "customer_id", "total_amount",
+                "order_number", "channel", "status", "day", "payment_method",
+            ),
+            told("order_items", state["order_items"], "order_id", "product_id", "unit_price", "line_number", "quantity"),
+            told(
+                "financial_transactions", state["financial_transactions"], "id", None, "amount",
+                "description", "type", "category", "transaction_date",
+            ),
+        ],
+    )
+
+
+def _order_intake_tables(b: Bindings) -> DataFrame:
+    done = _taken(b)
+    decided = done.accepted.select("feed_id", "order_number").unionByName(done.rejected, allowMissingColumns=True)
+    return taken_in(done.state, decided)
+
+
 def _order_totals(b: Bindings) -> DataFrame:
     found = intake.order_totals(b.items_feed, "feed_id")
     return found.withColumn("total_amount", F.col("total_amount").cast("double"))
@@ -393,6 +433,7 @@ QUERIES: dict[str, Query] = {
     "ledger_from_orders": _ledger_from_orders,
     "stock_after_orders": lambda b: intake.stock_after_orders(b.products, b.order_items),
     "order_intake": _order_intake,
+    "order_intake_tables": _order_intake_tables,
     "revise_orders": _revised_orders,
     "revise_orders_items": lambda b: _as_numbers(_revision(b).state["order_items"], "unit_price"),
     "revise_orders_ledger": lambda b: _as_numbers(

@@ -459,3 +459,49 @@ def test_ledger_rows_with_nulls_stay(spark):
         assert left["financial_transactions"].count() == count
         done = revisions.revise_orders(frame(spark, CHANGES, []), frame(spark, CHANGED_LINES, []), before)
         assert done.state["financial_transactions"].count() == count
+
+
+def chain(count):
+    """Sales that each want a unit of two products, one shared with the sale before: every second is refused."""
+    orders = [(i, i) for i in range(count)]
+    items = [(i, p, 1) for i in range(count) for p in (i, i + 1)]
+    return orders, items, {p: 1 for p in range(count + 1)}
+
+
+@pytest.mark.parametrize("walk_rows", [200_000, 500])
+def test_long_chains_do_not_need_a_round_for_each_link(spark, monkeypatch, walk_rows):
+    from tallybook.operators import allocation
+
+    orders, items, stock = chain(400)
+    # A second chain, and sales of its own, beside the first.
+    orders += [(1000 + i, s + 7) for i, s in orders] + [(5000, 3), (5001, 4)]
+    items += [(1000 + f, 2000 + p, q) for f, p, q in items] + [(5000, 9000, 3), (5001, 9000, 3)]
+    stock |= {2000 + p: q for p, q in stock.items()} | {9000: 5}
+    steps = []
+    write = allocation.materialize
+    monkeypatch.setattr(allocation, "materialize", lambda df, label="table": steps.append(label) or write(df, label))
+    found = allocation.allocate_stock(
+        spark.createDataFrame(orders, "feed_id bigint, arrival_seq bigint"),
+        spark.createDataFrame(items, "feed_id bigint, product_id bigint, quantity int"),
+        spark.createDataFrame([(p, f"p{p}", s) for p, s in stock.items()], "id bigint, name string, current_stock int"),
+        walk_rows=walk_rows,
+    )
+    verdicts, shortages = sequential.allocate(orders, items, dict(stock))
+    assert {r.feed_id: r.accepted for r in found.decisions.collect()} == verdicts
+    assert {(r.feed_id, r.product_id, r.available, r.requested) for r in found.shortages.collect()} == set(shortages)
+    assert steps.count("walk") <= -(-800 // (walk_rows - 2)) + 1
+    assert steps.count("round") <= steps.count("walk") + 3
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    import random
+
+    from tallybook.functions.graph import components
+
+    random.seed(6)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(50)]
+    edges += [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(7, 7), (9999, 9999)]
+    shuffled = [(b, a) if random.random() < 0.5 else (a, b) for a, b in edges]
+    found = {r.node: r.root for r in components(spark.createDataFrame(shuffled, "a bigint, b bigint")).collect()}
+    want = {n: 0 for n in range(301)} | {1000 + i: 1000 for i in range(50)} | {2000 + i: 2000 for i in range(40)}
+    assert found == want | {9999: 9999}
