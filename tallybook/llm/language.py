@@ -103,22 +103,24 @@ def identify_languages(
     columns of the result's names are replaced, and without ``keep_text`` the text is left out.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors may not have this module, whose class a broadcast would name.
+    values = model.languages, model.idf, model.centroids, model.owner, model.limit
+    shared = docs.sparkSession.sparkContext.broadcast(values)
     texts = carried(docs, id_col, text_col, RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        names, idf, centroids, owner, limit = shared.value
         for rows in batches:
             languages, scores, far = [], [], []
             for text in rows.column("text").to_pylist():
                 language, score, rejected = UNKNOWN, 0.0, True
-                if text and len(known.owner) and has_letter(text):
-                    weights = grams(text) * known.idf
+                if text and len(owner) and has_letter(text):
+                    weights = grams(text) * idf
                     length = float(np.sqrt(weights @ weights))
-                    cosines = known.centroids @ (weights / max(length, 1e-12)).astype(np.float32)
+                    cosines = centroids @ (weights / max(length, 1e-12)).astype(np.float32)
                     best = int(cosines.argmax())
-                    language, score = known.languages[known.owner[best]], float(np.clip(cosines[best], 0, 1))
-                    rejected = score < known.limit[best]
+                    language, score = names[owner[best]], float(np.clip(cosines[best], 0, 1))
+                    rejected = score < limit[best]
                 languages.append(language)
                 scores.append(score)
                 far.append(bool(rejected))

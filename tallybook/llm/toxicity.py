@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallybook.llm.common import carried, once, prepare, passed, passed_schema, restored, quoted, spread
 
@@ -59,14 +59,15 @@ def score_toxicity(
     replaced, and without ``keep_text`` the text is left out.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors may not have this module, whose class a broadcast would name.
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.slope, model.offset))
     texts = carried(docs, id_col, text_col, RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        weights, slope, offset = shared.value
         for rows in batches:
-            best = _best_windows([t or "" for t in rows.column("text").to_pylist()], known.weights)[0]
-            scores = 1 / (1 + np.exp(-np.clip(known.slope * best + known.offset, -50, 50)))
+            best = _best_windows([t or "" for t in rows.column("text").to_pylist()], weights)[0]
+            scores = 1 / (1 + np.exp(-np.clip(slope * best + offset, -50, 50)))
             yield passed(rows, keep_text, toxicity=pa.array(scores, pa.float64()))
 
     schema = passed_schema(texts, keep_text, "toxicity double")
@@ -112,7 +113,12 @@ def fit_toxicity(
     )
     sentence_draw = F.xxhash64("id", "sentence").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(unit)
     sentences = sentences.where(sentence_draw * F.col("n") < chars_per_doc)
-    rows = sentences.select("id", "label", F.substring("sentence", 1, chars_per_doc).alias("sentence")).collect()
+    # An id read in many times, and a sentence a text repeats, count once; no id gathers without bound.
+    drawn = sentences.groupBy("id", "sentence").agg(F.max("label").alias("label"), F.min(sentence_draw).alias("draw"))
+    drawn = drawn.withColumn("sentence", F.substring("sentence", 1, chars_per_doc))
+    before = Window.partitionBy("id").orderBy("draw", "sentence")
+    drawn = drawn.withColumn("chars", F.sum(F.length("sentence")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = drawn.where(F.col("chars") <= 4 * chars_per_doc).select("id", "label", "sentence").collect()
     return _train(rows, landmarks, rounds, cost)
 
 
