@@ -46,6 +46,8 @@ _ARROW = {
         [("key", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("l", pa.int32()), ("piece", pa.binary())]
     ),
 }
+# Places an anchor can have in the first of its windows.
+_PLACES = 1 << 16
 
 
 def remove_repeats(
@@ -69,6 +71,7 @@ def remove_repeats(
     characters that were cut in two); an input column of such a name is replaced, and without
     ``keep_text`` the text is left out.
 
+    ``length`` may exceed ``anchor`` by less than 65536, and ``anchor`` is at most half of it.
     Null and short texts lose nothing; a null text counts as empty. Rows without an id come after
     all others. Rows of one id and different texts are ordered by a hash of the text; rows equal
     in id and text count as one document, and each of them gets that document's result.
@@ -79,6 +82,8 @@ def remove_repeats(
     """
     if not 8 <= anchor <= length // 2:
         raise ValueError(f"anchor must be from 8 to half the length, got {anchor} and {length}")
+    if length - anchor >= _PLACES:
+        raise ValueError(f"length may be up to {_PLACES - 1} more than anchor, got {anchor} and {length}")
     prepare(docs.sparkSession)
     texts = docs.select(
         F.coalesce(quoted(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"),
@@ -184,7 +189,7 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
 def _find_anchors(length: int, anchor: int, hot: np.ndarray):
     """Task function: texts in, their anchors out, with the windows each anchor is given.
 
-    ``l`` is the first of an anchor's windows; ``n`` holds how many there are, times 256, plus the
+    ``l`` is the first of an anchor's windows; ``n`` holds how many there are, times ``_PLACES``, plus the
     anchor's place in the first. Pieces equal to an earlier one of the same batch are not sent on:
     their bytes come out as spans at once, with ``full`` null. Windows of hot anchors come out
     one by one under their own hashes.
@@ -206,7 +211,7 @@ def _find_anchors(length: int, anchor: int, hot: np.ndarray):
         full = _mixed((sums[last + length] - sums[first]) * down[first] + (last - first).astype(np.uint64))
         full = full.view(np.int64)
         many = np.isin(core, hot) if len(hot) else np.zeros(len(core), dtype=bool)
-        packed = (last - first + 1) * 256 + at - first
+        packed = (last - first + 1) * _PLACES + at - first
         if many.any():
             second = np.zeros(size + 1, dtype=np.uint64)
             np.cumsum(words[1][b] * up[:size], out=second[1:])
@@ -216,7 +221,7 @@ def _find_anchors(length: int, anchor: int, hot: np.ndarray):
             few = ~many
             core, full = np.concatenate((core[few], own[0])), np.concatenate((full[few], own[1]))
             first = np.concatenate((first[few], each))
-            packed = np.concatenate((packed[few], np.full(len(each), 256)))
+            packed = np.concatenate((packed[few], np.full(len(each), _PLACES)))
         return core, full, first, packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +254,7 @@ def _find_anchors(length: int, anchor: int, hot: np.ndarray):
             model = np.flatnonzero(new)[np.cumsum(new) - 1]
             again = ~new & ((d != d[model]) | (h != h[model]) | (l != l[model]))
             if again.any():
-                d, h, l, n = _joined(d[again], h[again], l[again], (packed[again] >> 8) - 1 + length)
+                d, h, l, n = _joined(d[again], h[again], l[again], packed[again] // _PLACES - 1 + length)
                 apart = _mixed(d.view(np.uint64) * np.uint64(31) + l.astype(np.uint64)).view(np.int64)
                 yield batch(_ARROW[_ANCHORS], apart, pa.nulls(len(d), pa.int64()), d, h, l.astype(np.int32), n.astype(np.int32))
 
@@ -305,7 +310,7 @@ def _settle_classes(length: int):
             md, mh, ml = (np.where(known, x[lead], 0 if model is None else model[i]) for i, x in enumerate((d, h, l)))
             again = ~new & ((d != md) | (h != mh) | (l != ml))
             if again.any():
-                yield batch(schema, d[again], h[again], l[again], ((n[again] >> 8) - 1 + length).astype(np.int32), pa.nulls(int(again.sum()), pa.int64()))
+                yield batch(schema, d[again], h[again], l[again], (n[again] // _PLACES - 1 + length).astype(np.int32), pa.nulls(int(again.sum()), pa.int64()))
             heads = np.flatnonzero(new)
             if len(heads):
                 several = ~new_core[heads]
@@ -352,7 +357,7 @@ def _cut_pieces(length: int, anchor: int):
                     text = (texts[text_at].as_py() or "").encode()
                 if owner != (d[i], h[i]):
                     continue
-                first, count, at = l[i], n[i] >> 8, l[i] + (n[i] & 255)
+                first, count, at = l[i], n[i] // _PLACES, l[i] + n[i] % _PLACES
                 end = first + count  # behind the last window's start
                 middle = min(max(at - side + 1, first), end)
                 if middle > first:
@@ -382,7 +387,7 @@ def _sort_shards(length: int, anchor: int, shard_bytes: int):
         for (d, h, l), piece in zip(places, pieces):
             for i in range(len(piece) - length + 1):
                 window = piece[i : i + length]
-                yield xxhash.xxh64_intdigest(window, 1), xxhash.xxh64_intdigest(window, 2), d, h, l + i, 256
+                yield xxhash.xxh64_intdigest(window, 1), xxhash.xxh64_intdigest(window, 2), d, h, l + i, _PLACES
 
     def spans(places: list[tuple], pieces: list[bytes]) -> pa.RecordBatch | None:
         d, h, l, size = _repeats_in_shard(places, pieces, length)
