@@ -7,6 +7,7 @@ to both sides, settles the boundaries and validates what it found.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,6 +26,7 @@ _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
 _URL = _ALNUM | frozenset("-._~:/?#[]@!$&'()*+,;=%")
+_HOST = re.compile("[^/?#]*")
 _SCHEMES = ("http", "https", "ftp")
 _CUES = {
     "iban": "iban",
@@ -108,6 +110,7 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
     """All spans of a text as kind, start and end."""
     found: list[tuple[str, int, int]] = []
     email_to = number_to = dotted_to = 0
+    address_to = 0, 0
     lower = text.lower()
     if len(lower) != len(text):  # Only this letter becomes two; places have to stay the same.
         lower = text.replace("\u0130", "I").lower()
@@ -125,7 +128,7 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
         elif anchor == "plus":
             _phone(text, place, found)
         elif anchor == "scheme":
-            _address(text, place - 2, found)
+            address_to = _address(text, place - 2, address_to, found)
         else:
             _identifier(text, lower, place + 1, anchor, found)
     if len(found) > 1:
@@ -213,19 +216,27 @@ def _phone(text: str, at: int, found: list) -> None:
         found.append(("phone", at, end))
 
 
-def _address(text: str, at: int, found: list) -> None:
-    """An address behind a scheme, if it names a user before its host."""
+def _address(text: str, at: int, known: tuple[int, int], found: list) -> tuple[int, int]:
+    """An address behind a scheme, if it names a user before its host.
+
+    Schemes in one run of address characters share its end: ``known`` and the result say where the
+    last run ended, and where without closing punctuation.
+    """
     start = at
     while start and text[start - 1].isascii() and text[start - 1].isalpha():
         start -= 1
     if text[start:at].lower() not in _SCHEMES:
-        return
-    end = _run(text, at + 3, _URL)
-    while end > at + 3 and text[end - 1] in ".,;:!?)'":
-        end -= 1
-    host = text[at + 3 : end].split("/")[0].split("?")[0].split("#")[0]
+        return known
+    full, end = known
+    if at + 3 > full:
+        full = end = _run(text, at + 3, _URL)
+        while end > at + 3 and text[end - 1] in ".,;:!?)'":
+            end -= 1
+    end = max(end, at + 3)
+    host = _HOST.match(text, at + 3, end).group()
     if "@" in host.strip("@"):
         found.append(("url", start, end))
+    return full, end
 
 
 def _identifier(text: str, lower: str, at: int, cue: str, found: list) -> None:
