@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from tallybook.llm.common import carried, once, prepare, passed, passed_schema, restored, quoted, spread
 
@@ -102,7 +105,9 @@ class Coder:
         self.automaton.make_automaton()
         self.packed = {i: np.array([i], dtype="<u4").tobytes() for i in self.strings}
         self.symbols = byte_symbols()
-        self.words = regex.compile(_WORDS.format(letters=r"\p{L}", digits=r"\p{N}"), regex.V1).findall
+        self.lowered = _lowered()
+        letters, digits = (_members(c) for c in (r"\p{L}", r"\p{N}"))
+        self.words = regex.compile(_WORDS.format(letters=letters, digits=digits), regex.V1).findall
         self.plain_words = re.compile(_WORDS.format(letters=_LETTERS, digits=_DIGITS)).findall
         self.plain = re.compile("[\0-\x1b -\u024f]*").fullmatch
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -118,7 +123,10 @@ class Coder:
                 continue
             normal = unicodedata.normalize("NFC", part)
             normal = "".join(map(str.lower, normal)) if "Σ" in normal else normal.lower()
-            words = (self.plain_words if self.plain(normal) else self.words)(normal)
+            if self.plain(normal):
+                words = self.plain_words(normal)
+            else:
+                words = self.words(normal.translate(self.lowered))
             known = list(map(self.known.get, words))
             if None in known:
                 new = {word for word, i in zip(words, known) if i is None}
@@ -204,6 +212,28 @@ class Coder:
                 above_b, b, _ = half_b
 
 
+def _members(category: str) -> str:
+    """Ranges of the characters the tokenizers library counts in a category, asked of itself.
+
+    Its tables are older or newer than those of other libraries, and differ in over 1500 characters.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    split = Split(Regex(category), behavior="removed")
+    begin, ranges = 0, []
+    for _, (first, last) in [*split.pre_tokenize_str(every), ("", (len(every), len(every)))]:
+        if first > begin:
+            ranges.append(f"\\U{ord(every[begin]):08x}-\\U{ord(every[first - 1]):08x}")
+        begin = last
+    return "".join(ranges)
+
+
+def _lowered() -> dict[int, str]:
+    """Characters the tokenizers library lower-cases otherwise than this Python, asked of itself."""
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)] if c != 10]
+    theirs = Lowercase().normalize_str("\n".join(every)).split("\n")
+    return {ord(c): low for c, low in zip(every, theirs) if low != c.lower()}
+
+
 def byte_symbols() -> dict[int, str]:
     """One printable character for each byte: itself where it is printable, the next free one else."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
