@@ -128,7 +128,8 @@ def _with_components(prints: DataFrame, roots: DataFrame) -> DataFrame:
     grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root")
     )
-    smallest = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    # Written by themselves, so that a group with most fingerprints can be split between tasks in the join.
+    smallest = materialize(grouped.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     named = materialize(grouped.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "groups")
     return prints.join(named, "fp").select("id", "h", "row", "fp", "root", "component_id")
 
