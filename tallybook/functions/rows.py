@@ -15,8 +15,6 @@ from tallybook.sources.scratch import materialize
 TOP_K_ROWS = 1_000
 # Rows of one page that may be sent to every task.
 BROADCAST_PAGE_ROWS = 10_000
-# Children one nested document part may hold.
-PART_ROWS = 10_000
 
 
 def where_all(df: DataFrame, conditions: Sequence[Column]) -> DataFrame:
@@ -165,15 +163,19 @@ def nest(
     element: Sequence[Column],
     into: str,
     tie: Sequence[str] = (),
-    part_rows: int = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
-    """Children as sorted arrays of structs: ``(key, part, into)``.
+    """Children as sorted arrays of structs: ``(key, part, into)``, in the order of the struct.
 
-    Children are placed within their key in the order of the struct, then of ``tie``, and every
-    ``part_rows`` of them make one part, counted from 0. So parts are bounded, sorted and follow
-    each other, and a key with most children is built by many tasks; a usual key is part 0 alone.
+    A key's children are one array, ``part`` 0, built behind a single exchange. With ``part_rows``
+    they are placed within their key, by the struct and then ``tie``, and every so many make one
+    part, counted from 0: parts are bounded and follow each other, and a key with most children is
+    built by many tasks.
     """
     rows = children.select(key, F.struct(*element).alias("_element"), *tie)
+    if part_rows is None:
+        whole = F.sort_array(F.collect_list("_element")).alias(into)
+        return rows.groupBy(key).agg(whole).select(key, F.lit(0).alias("part"), into)
     order = [F.col(c) for c in (key, "_element", *tie)]
     placed = dense_index(rows, order, "_n", [key], "_at", keep=[key, "_element"])
     part = F.floor(F.col("_at") / F.lit(part_rows)).cast("int").alias("part")

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from tallybook.functions.clock import Moment, as_datetime, ts_lit
-from tallybook.functions.rows import PART_ROWS, nest, paginate, small_page, where_all
+from tallybook.functions.rows import nest, paginate, small_page, where_all
 from tallybook.functions.text import contains_any, distinct_text, fold_key, same_text
 
 POPULAR_DAYS = 30  # Fixed value: how long a preparation counts towards popularity.
@@ -124,11 +124,11 @@ def recipe_details(
     ingredients: DataFrame,
     products: DataFrame,
     ids: DataFrame | None = None,
-    part_rows: int = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Recipes (all, or those named in ``ids``) with nested ingredients and a missing flag.
 
-    A recipe with more than ``part_rows`` ingredients comes as several documents.
+    A recipe is one document; with ``part_rows``, one of more ingredients comes as several.
     """
     used = ingredients.select("id", "recipe_id", "product_id", "quantity", "unit", "notes")
     if ids is not None:

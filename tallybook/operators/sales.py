@@ -14,7 +14,7 @@ from tallybook.functions.clock import (
     period_bounds,
     ts_lit,
 )
-from tallybook.functions.rows import PART_ROWS, money, nest, paginate, small_page, stack_metrics
+from tallybook.functions.rows import money, nest, paginate, small_page, stack_metrics
 from tallybook.functions.text import fold_key
 
 # Statuses of an order that is not done yet; days a best-seller is counted over.
@@ -219,7 +219,7 @@ def _with_lines(orders: DataFrame, lines: DataFrame, element: str) -> DataFrame:
 
 
 def _nested_lines(
-    items: DataFrame, products: DataFrame, element: Sequence[Column], part_rows: int
+    items: DataFrame, products: DataFrame, element: Sequence[Column], part_rows: int | None
 ) -> DataFrame:
     """Lines with product names, as one array per order (several for an oversized order)."""
     names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
@@ -230,11 +230,12 @@ def _nested_lines(
 
 
 def sales_documents(
-    orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, part_rows: int = PART_ROWS
+    orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, part_rows: int | None = None
 ) -> DataFrame:
     """Every order with its customer and nested lines, newest first.
 
-    An order with more than ``part_rows`` lines comes as several documents, ``part`` 0, 1, ….
+    An order is one document, ``part`` 0; with ``part_rows``, one of more lines than that comes as
+    several, ``part`` 0, 1, ….
     Lines of a product that no longer exists are left out.
     """
     element = [
@@ -268,7 +269,7 @@ def sale_details(
     items: DataFrame,
     products: DataFrame,
     ids: DataFrame,
-    part_rows: int = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """The orders named in ``ids`` (one ``id`` column), all columns, with nested lines.
 

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.plans.parameters import PROCESSING_YEAR
 from tallybook.plans.writes import intake_state
 from tallybook.sources.bindings import SOURCE_SCHEMAS, Bindings
 from tallybook.sources.scratch import scratch_path
-from tallybook.streaming.daily_sales import run_daily_sales
-from tallybook.streaming.files import latest, read_stream
-from tallybook.streaming.order_intake import run_order_intake, sale_feed_documents
+from tallybook.plans.writes import taken_in
+from tallybook.streaming.daily_sales import daily_figures, run_daily_sales, run_daily_sales_and_late
+from tallybook.streaming.files import latest, merged_upto, read_batches, read_stream
+from tallybook.streaming.order_intake import current_state, run_order_intake, sale_feed_documents
 from tallybook.streaming.recipe_log import append_actions, count_actions
 
 
+# The years of the orders, and how far back a replayed file of events may lie.
+YEARS = range(1995, 2002)
+REPLAY_WINDOW = "60 days"
+
+
 class _Arriving(Bindings):
     """The same bindings with the source tables read as streams."""
 
@@ -59,9 +65,83 @@ def _order_intake(b: Bindings) -> DataFrame:
     return accepted.unionByName(rejected, allowMissingColumns=True)
 
 
+def _arriving(rows: DataFrame, folder: str, arrival: Column, steps: Sequence[int]) -> DataFrame:
+    """A feed of one file for each step of ``arrival``, in their order, taken in one by one."""
+    path = f"{folder}/feed"
+    for step in steps:
+        rows.where(arrival == step).coalesce(1).write.mode("append").parquet(path)
+    return read_stream(rows.sparkSession, path, rows.schema, files_per_batch=1)
+
+
+def _within(step: Column, steps: Sequence[int]) -> Column:
+    """The step, or the nearest there is, so that every row arrives."""
+    return F.greatest(F.least(F.coalesce(step, F.lit(steps[0])), F.lit(steps[-1])), F.lit(steps[0]))
+
+
+def _replayed_actions(b: Bindings, root: str) -> DataFrame:
+    """Every event in four files by time, of which the second is sent again at the end."""
+    feed = b.recipe_feed
+    quarter = _within(F.floor((F.dayofmonth("created_at") - 1) / F.lit(8)), range(4))
+    arriving = _arriving(feed, root, quarter, range(4))
+    feed.where(quarter == 1).coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    return arriving
+
+
+def _recipe_log_replayed(b: Bindings) -> DataFrame:
+    root = scratch_path(b.spark, "recipe-log")
+    append_actions(_replayed_actions(b, root), f"{root}/log", f"{root}/state", REPLAY_WINDOW).awaitTermination()
+    return b.spark.read.parquet(f"{root}/log")
+
+
+def _recipe_counts_replayed(b: Bindings) -> DataFrame:
+    """Counts of the log that replays do not change."""
+    root = scratch_path(b.spark, "recipe-counts")
+    append_actions(_replayed_actions(b, root), f"{root}/log", f"{root}/state", REPLAY_WINDOW).awaitTermination()
+    logged = read_stream(b.spark, f"{root}/log", b.recipe_log.schema, files_per_batch=2)
+    count_actions(logged, f"{root}/out", f"{root}/counted").awaitTermination()
+    return latest(b.spark, f"{root}/out", ["recipe_id", "action"])
+
+
+def _daily_sales_late(b: Bindings) -> DataFrame:
+    """Orders in a file a year, some of them sent with the next year's: days, and what came too late."""
+    root = scratch_path(b.spark, "daily-sales")
+    orders = b.orders.select("id", "order_date", "total_amount")
+    year = F.year("order_date")
+    sent = _within(year + F.when(F.col("id") % 50 == 0, 1).otherwise(0), YEARS)
+    arriving = _arriving(orders, root, sent, YEARS)
+    run_daily_sales_and_late(arriving, f"{root}/out", f"{root}/state").awaitTermination()
+    days = daily_figures(b.spark, f"{root}/out", len(YEARS))
+    late = read_batches(b.spark, f"{root}/out", "late", len(YEARS)).groupBy(F.to_date("order_date").alias("day"))
+    late = late.agg(F.sum("total_amount").alias("total"), F.count(F.lit(1)).alias("orders"))
+    both = days.select(F.lit("taken").alias("kind"), "*").unionByName(late.select(F.lit("late").alias("kind"), "*"))
+    return both.withColumn("total", F.col("total").cast("double"))
+
+
+def _order_intake_batches(b: Bindings) -> DataFrame:
+    """All sales in a file for every two years, their tables merged on the way; every table afterwards."""
+    root = scratch_path(b.spark, "order-intake")
+    steps = range((len(YEARS) + 1) // 2)
+    year = F.year(F.col("order_date").try_cast("timestamp_ntz"))
+    pair = _within(F.floor((year - YEARS[0]) / F.lit(2)), steps)
+    documents = sale_feed_documents(b.orders_feed, b.items_feed)
+    base = intake_state(b)
+    run_order_intake(
+        _arriving(documents, root, pair, steps), base, f"{root}/out", f"{root}/state", PROCESSING_YEAR, merge_every=2
+    ).awaitTermination()
+    out = f"{root}/out"
+    assert merged_upto(b.spark, out, len(steps)) >= 0
+    accepted, rejected = (b.spark.read.parquet(f"{out}/{t}").drop("batch") for t in ("accepted", "rejected"))
+    decided = accepted.select("feed_id", "order_number").unionByName(rejected, allowMissingColumns=True)
+    return taken_in(current_state(base, out, len(steps)), decided)
+
+
 QUERIES: dict[str, Callable[[Bindings], DataFrame]] = {
     "stream_recipe_log": _recipe_log,
     "stream_recipe_counts": _recipe_counts,
     "stream_daily_sales": _daily_sales,
     "stream_order_intake": _order_intake,
+    "stream_recipe_log_replayed": _recipe_log_replayed,
+    "stream_recipe_counts_replayed": _recipe_counts_replayed,
+    "stream_daily_sales_late": _daily_sales_late,
+    "stream_order_intake_batches": _order_intake_batches,
 }

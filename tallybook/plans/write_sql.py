@@ -517,6 +517,23 @@ SELECT CAST(order_date AS DATE) AS day, CAST(SUM(total_amount) AS DOUBLE) AS tot
 FROM bo_orders GROUP BY 1""",
         "bo_orders",
     ),
+    "stream_recipe_log_replayed": with_tables("SELECT * FROM bo_recipe_log", "bo_recipe_log"),
+    "stream_recipe_counts_replayed": with_tables(
+        "SELECT recipe_id, action, COUNT(*) AS times FROM bo_recipe_log GROUP BY recipe_id, action",
+        "bo_recipe_log",
+    ),
+    "stream_daily_sales_late": with_tables(
+        """
+, sent AS (SELECT order_date, total_amount,
+    GREATEST(LEAST(YEAR(order_date) + CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END, 2001), 1995) AS file FROM bo_orders),
+newest AS (SELECT file, MAX(MAX(order_date)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at
+  FROM sent GROUP BY file)
+SELECT CASE WHEN date_trunc('day', s.order_date) + INTERVAL 1 DAY <= n.at - INTERVAL 1 DAY THEN 'late' ELSE 'taken' END AS kind,
+  CAST(s.order_date AS DATE) AS day, CAST(SUM(s.total_amount) AS DOUBLE) AS total, COUNT(*) AS orders
+FROM sent s JOIN newest n ON n.file = s.file GROUP BY 1, 2""",
+        "bo_orders",
+    ),
+    "stream_order_intake_batches": _recursive(_TABLES_AFTER, *_INTAKE_TABLES),
     "stream_order_intake": _recursive(
         _TAKEN_IN
         + """

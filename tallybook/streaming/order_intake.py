@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallybook.functions.rows import PART_ROWS, nest
+from tallybook.functions.rows import nest
 from tallybook.operators.allocation import BLOCK_ORDERS
 from tallybook.operators.intake import (
     PREFIXES,
@@ -25,16 +25,16 @@ from tallybook.operators.intake import (
     order_intake,
 )
 from tallybook.sources.scratch import materialize
-from tallybook.streaming.files import write_batch
+from tallybook.streaming.files import MERGE_EVERY, merge_batches, merged_upto, read_batches, write_batch
 
 COUNTERS = "name string, year int, value bigint"
 LINE_FIELDS = ("line_no", "product_id", "quantity", "unit_price", "valor")
 
 
 def sale_feed_documents(
-    orders_feed: DataFrame, items_feed: DataFrame, part_rows: int = PART_ROWS
+    orders_feed: DataFrame, items_feed: DataFrame, part_rows: int | None = None
 ) -> DataFrame:
-    """Sales as documents with nested lines; an oversized sale is several ``part`` documents.
+    """Sales as documents with nested lines; with ``part_rows`` an oversized sale is several documents.
 
     All parts of a sale have to arrive in the same batch.
     """
@@ -56,14 +56,15 @@ def current_state(base: State, root: str, batch_id: int) -> State:
     if batch_id == 0:
         return base
     spark = base["products"].sparkSession
-    added = {
-        name: spark.read.parquet(f"{root}/{name}").where(F.col("batch") < batch_id).drop("batch")
-        for name in base
-    }
-    added["products"] = added["products"].groupBy("id").agg(F.sum("sold").alias("sold"))
+    added = {name: read_batches(spark, root, name, batch_id) for name in base}
+    added["products"] = _sold(added["products"])
     return apply_new(base, added)
 
 
+def _sold(products: DataFrame) -> DataFrame:
+    return products.groupBy("id").agg(F.sum("sold").alias("sold"))
+
+
 def _counters(base: State, root: str, batch_id: int, year: int) -> Counters:
     """The counters the batch before left; the tables' own for the first one."""
     if batch_id == 0:
@@ -102,13 +103,19 @@ def run_order_intake(
     processing_year: int,
     source_tz: str = "UTC",
     block_orders: int = BLOCK_ORDERS,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Take in what has arrived, batch by batch, under ``root``.
 
-    Besides a folder per table there are ``accepted``, ``rejected`` and ``shortages``.
+    Besides a folder per table there are ``accepted``, ``rejected`` and ``shortages``. Whenever
+    ``merge_every`` batches lie side by side their tables are merged, so that a batch reads a
+    bounded number of folders however long the stream has run.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id - 1 - merged_upto(spark, root, batch_id) >= merge_every:
+            merge_batches(spark, root, list(base), batch_id, {"products": _sold})
         orders_feed, items_feed = flatten(materialize(batch, "sales"))
         start = _counters(base, root, batch_id, processing_year)
         done = order_intake(

@@ -18,10 +18,28 @@ def action_counts(log: DataFrame) -> DataFrame:
     return known_actions(log).groupBy("recipe_id", "action").agg(F.count(F.lit(1)).alias("times"))
 
 
-def append_actions(actions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append arriving actions to the log files; each file of input is taken exactly once."""
+def once_each(actions: DataFrame, window: str) -> DataFrame:
+    """Actions without those whose ``id`` was seen before, as when a file is sent again.
+
+    Ids are remembered between batches for as long as a replay may lag, ``window`` behind the newest
+    action; an action that is itself older than that cannot be told from a replay and is left out.
+    """
+    return (
+        actions.withColumn("_at", F.col("created_at").cast("timestamp"))
+        .withWatermark("_at", window)
+        .dropDuplicatesWithinWatermark(["id"])
+        .drop("_at")
+    )
+
+
+def append_actions(actions: DataFrame, path: str, checkpoint: str, replay_window: str | None = None) -> StreamingQuery:
+    """Append arriving actions to the log files; each file of input is taken exactly once.
+
+    With ``replay_window``, so is each action by its id, in whatever file it comes again.
+    """
+    known = known_actions(actions)
     return (
-        known_actions(actions)
+        (once_each(known, replay_window) if replay_window else known)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -10,8 +10,8 @@ from test_intake import feed, lines, random_sales, sale, state
 
 from tallybook.operators.intake import order_intake
 from tallybook.sources.scratch import materialize
-from tallybook.streaming.daily_sales import daily_sales, run_daily_sales
-from tallybook.streaming.files import latest, read_stream, write_batch
+from tallybook.streaming.daily_sales import daily_figures, daily_sales, run_daily_sales, run_daily_sales_and_late
+from tallybook.streaming.files import latest, merged_upto, read_batches, read_stream, write_batch
 from tallybook.streaming.order_intake import current_state, flatten, run_order_intake, sale_feed_documents
 from tallybook.streaming.recipe_log import action_counts, append_actions, count_actions
 
@@ -94,6 +94,54 @@ def test_daily_sales_drop_only_what_is_too_late(spark, folder):
     ]
 
 
+def test_late_orders_are_counted_and_kept(spark, folder):
+    batches = [
+        sold(spark, ("2024-01-01T10:00:00", "1.00"), ("2024-01-02T10:00:00", "2.00"), ("2024-01-02T11:00:00", "3.00")),
+        sold(spark, ("2024-01-01T20:00:00", "4.00"), ("2024-01-05T00:00:00", "8.00")),
+        # The newest is 2024-01-05 now: a day is closed if it ended by 2024-01-04.
+        frame(spark, SALES, [(at("2024-01-01T23:00:00"), shop.Decimal("16.00")), (at("2024-01-04T12:00:00"), shop.Decimal("32.00")),
+              (at("2024-01-03T12:00:00"), shop.Decimal("64.00")), (None, shop.Decimal("128.00"))]),
+        sold(spark, ("2024-01-04T01:00:00", "256.00")),
+    ]
+    for step, batch in enumerate(batches):
+        drop(batch, f"{folder}/in", step)
+    arriving = read_stream(spark, f"{folder}/in", SALES, files_per_batch=1)
+    run_daily_sales_and_late(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
+
+    def found():
+        days = daily_figures(spark, f"{folder}/out", 4).select(F.col("day").cast("string"), "total", "orders")
+        late = read_batches(spark, f"{folder}/out", "late", 4)
+        bounds = spark.read.parquet(f"{folder}/out/bounds").orderBy("batch").select("rows", "late", "undated")
+        return sorted(rows(days)), sorted(r["total_amount"] for r in late.collect()), [tuple(r) for r in bounds.collect()]
+
+    want = (
+        [("2024-01-01", shop.Decimal("5.00"), 2), ("2024-01-02", shop.Decimal("5.00"), 2),
+         ("2024-01-04", shop.Decimal("288.00"), 2), ("2024-01-05", shop.Decimal("8.00"), 1)],
+        [shop.Decimal(x) for x in ("16.00", "64.00", "128.00")],
+        [(3, 0, 0), (2, 0, 0), (4, 3, 1), (1, 0, 0)],
+    )
+    assert found() == want
+    # All batches run again, as from a lost checkpoint, write the same.
+    run_daily_sales_and_late(arriving, f"{folder}/out", f"{folder}/state2").awaitTermination()
+    assert found() == want
+
+
+def test_a_replayed_file_of_actions_changes_nothing(spark, folder):
+    now, later, last = at("2024-07-01"), at("2024-07-03"), at("2024-07-20")
+    files = [
+        [(1, 1, "viewed", now), (2, 1, "eaten", now), (3, 2, "printed", now), (3, 2, "printed", now)],
+        [(4, 1, "viewed", later), (1, 1, "viewed", now)],
+        [(1, 1, "viewed", now), (2, 1, "eaten", now), (3, 2, "printed", now)],
+        [(5, 1, "viewed", last), (4, 1, "viewed", later)],
+    ]
+    for step, entries in enumerate(files):
+        drop(frame(spark, ACTIONS, entries), f"{folder}/in", step)
+        # Started anew for every file: what was seen is kept between batches and runs.
+        arriving = read_stream(spark, f"{folder}/in", ACTIONS, files_per_batch=1)
+        append_actions(arriving, f"{folder}/log", f"{folder}/c", "30 days").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/log").collect()) == [1, 3, 4, 5]
+
+
 def test_daily_sales_equal_the_batch(spark):
     found = daily_sales(shop.orders(spark)).select("day", "total", "orders")
     want = shop.orders(spark).groupBy(F.to_date("order_date").alias("day")).agg(
@@ -133,14 +181,17 @@ def test_intake_in_batches_equals_one_batch(spark, folder):
 
     documents = sale_feed_documents(feed(spark, *sales), lines(spark, *asked))
     schema = documents.schema
-    for step, low in enumerate((0, 16, 31)):
-        high = (16, 31, 99)[step]
+    for step, low in enumerate((0, 10, 20, 28, 37)):
+        high = (10, 20, 28, 37, 99)[step]
         drop(documents.where(F.col("feed_id").between(low + 1 if low else 0, high)), f"{folder}/in", step)
     arriving = read_stream(spark, f"{folder}/in", schema, files_per_batch=1)
-    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/state", 2024).awaitTermination()
+    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/state", 2024, merge_every=2).awaitTermination()
 
-    assert len([n for n in os.listdir(f"{folder}/out/orders") if n.startswith("batch=")]) == 3
-    after = current_state(base, f"{folder}/out", 3)
+    assert len([n for n in os.listdir(f"{folder}/out/orders") if n.startswith("batch=")]) == 5
+    # Merged before the third and the fifth batch: what is read is one merged folder and the rest.
+    assert [merged_upto(spark, f"{folder}/out", n) for n in range(6)] == [-1, -1, 1, 1, 3, 3]
+    assert len({os.path.dirname(f) for f in read_batches(spark, f"{folder}/out", "orders", 5).inputFiles()}) == 2
+    after = current_state(base, f"{folder}/out", 5)
     for name, columns in TABLES.items():
         assert contents(after[name], *columns) == contents(whole.state[name], *columns), name
     rejected = spark.read.parquet(f"{folder}/out/rejected")
@@ -148,12 +199,15 @@ def test_intake_in_batches_equals_one_batch(spark, folder):
 
     # The last batch is run again, as after a crash before it was noted as done.
     shutil.copytree(f"{folder}/state", f"{folder}/crashed")
-    os.remove(f"{folder}/crashed/commits/2")
+    os.remove(f"{folder}/crashed/commits/4")
     for name in os.listdir(f"{folder}/crashed/commits"):
-        if name.endswith(".crc") and ".2." in name:
+        if name.endswith(".crc") and ".4." in name:
             os.remove(f"{folder}/crashed/commits/{name}")
-    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/crashed", 2024).awaitTermination()
-    again = current_state(base, f"{folder}/out", 3)
+    # The merge before it had failed half way.
+    shutil.rmtree(f"{folder}/out/lists/until=3")
+    run_order_intake(arriving, base, f"{folder}/out", f"{folder}/crashed", 2024, merge_every=2).awaitTermination()
+    assert merged_upto(spark, f"{folder}/out", 5) == 3
+    again = current_state(base, f"{folder}/out", 5)
     for name, columns in TABLES.items():
         assert contents(again[name], *columns) == contents(whole.state[name], *columns), name
 
