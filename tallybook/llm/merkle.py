@@ -136,8 +136,12 @@ def manifest(leaves: DataFrame, part_col: str, order_col: str, leaf_col: str, ar
                 state = materialize(_jump(state, state, distance), "segments")
             distance *= 2
 
-    roots_of = parts.join(subroots, "tree").select(
-        F.col("tree").alias("part_tree"), "part", "rows", hex_of(F.col("digest")).alias("subroot")
+    # Written, so that its size is known in the join and a part of most rows can be split between tasks.
+    roots_of = materialize(
+        parts.join(subroots, "tree").select(
+            F.col("tree").alias("part_tree"), "part", "rows", hex_of(F.col("digest")).alias("subroot")
+        ),
+        "part-roots",
     )
     proofs = rows.join(roots_of.select("part_tree", "subroot"), "part_tree").select(
         *[F.col("row").getField(f"_{c}").alias(c) for c in kept],
