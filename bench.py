@@ -28,6 +28,8 @@ FURTHER_RESULTS = {
     "revise_recipes_rejected",
     "intake_new_customers",
     "intake_shortages",
+    "order_intake_tables",
+    "stream_recipe_counts_replayed",
     "revise_orders_items",
     "revise_orders_ledger",
     "revise_orders_rejected",
