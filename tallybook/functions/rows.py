@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tallybook.sources.scratch import materialize
 
@@ -58,6 +59,32 @@ def paginate(
     return df.join(small_page(wanted, limit), key, "left_semi").orderBy(*order_by)
 
 
+class Page(NamedTuple):
+    rows: DataFrame  # in order
+    total: int  # rows there are on all pages
+
+
+def page_and_total(
+    df: DataFrame, order_by: Sequence[Column], page: int, limit: int, key: str = "id"
+) -> Page:
+    """One page as ``paginate`` cuts it, and how many rows there are, from one scan of ``df``.
+
+    A near page is fetched, some thousand rows at most, and the rows that pass by on the way are
+    counted as they do: each task's count is taken once, when its result is, so a task run again
+    does not count twice. For a deep page the keys are numbered anyway, and the total is how many.
+    """
+    offset = check_page(page, limit)
+    if offset + limit <= TOP_K_ROWS:
+        seen = Observation()
+        passing = df.observe(seen, F.count(F.lit(1)).alias("total"))
+        rows = passing.orderBy(*order_by).offset(offset).limit(limit).collect()
+        return Page(df.sparkSession.createDataFrame(rows, df.schema), seen.get["total"])
+    numbered = dense_index(df, order_by, "_row", keep=[key])
+    wanted = numbered.where((F.col("_row") >= offset) & (F.col("_row") < offset + limit)).select(key)
+    rows = df.join(small_page(wanted, limit), key, "left_semi").orderBy(*order_by)
+    return Page(rows, numbered.count())
+
+
 def small_page(page: DataFrame, limit: int) -> DataFrame:
     """Mark a page as a broadcast side; ``limit`` is the proof of its size."""
     return F.broadcast(page) if limit <= BROADCAST_PAGE_ROWS else page

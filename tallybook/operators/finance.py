@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallybook.functions.clock import Moment, date_lit, date_range, day_range, month_start_back
+from tallybook.functions.clock import Moment, date_range, day_range, month_start_back
+from tallybook.functions.months import months_between
 from tallybook.functions.rows import money, stack_metrics, where_all
 from tallybook.schemas import LEDGER_CATEGORIES
 
@@ -25,14 +26,21 @@ def _expense() -> Column:
     return F.when(F.col("type") == "saida", F.col("amount"))
 
 
+def _booked_in(ledger: DataFrame, start: Moment | None = None, end: Moment | None = None) -> list[Column]:
+    """Inclusive bounds on the booking date, and on the months of a ledger laid out by them."""
+    column = "transaction_date"
+    return [*months_between(ledger, column, start, end), *date_range(column, start, end)]
+
+
 def finance_summary(
     ledger: DataFrame, orders: DataFrame, start: Moment | None = None, end: Moment | None = None
 ) -> DataFrame:
     """Income, expenses and balance of the ledger, revenue of the orders, in an inclusive range."""
-    booked = where_all(ledger, date_range("transaction_date", start, end)).select(
+    booked = where_all(ledger, _booked_in(ledger, start, end)).select(
         _income().alias("income"), _expense().alias("expense")
     )
-    sold = where_all(orders, day_range("order_date", start, end)).select(
+    dated = [*months_between(orders, "order_date", start, end), *day_range("order_date", start, end)]
+    sold = where_all(orders, dated).select(
         F.col("total_amount").alias("revenue")
     )
     nothing = F.lit(0).cast("decimal(10,2)")
@@ -49,7 +57,7 @@ def finance_summary(
 def cashflow_by_month(ledger: DataFrame, as_of: Moment, months: int = 6) -> DataFrame:
     """Income and expenses per month since the first of the month ``months`` months back."""
     return (
-        ledger.where(F.col("transaction_date") >= date_lit(month_start_back(as_of, months)))
+        where_all(ledger, _booked_in(ledger, month_start_back(as_of, months)))
         .groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month_year"))
         .agg(money(_income()).alias("total_income"), money(_expense()).alias("total_expenses"))
         .orderBy("month_year")
@@ -62,7 +70,7 @@ def category_distribution(
     """Expenses and income per category that has any, in the categories' declared order."""
     declared = F.array(*[F.lit(c) for c in LEDGER_CATEGORIES])
     return (
-        where_all(ledger, date_range("transaction_date", start, end))
+        where_all(ledger, _booked_in(ledger, start, end))
         .groupBy("category")
         .agg(money(_expense()).alias("total_expenses"), money(_income()).alias("total_income"))
         .where((F.col("total_expenses") > 0) | (F.col("total_income") > 0))
@@ -82,7 +90,7 @@ def transactions_search(
 
     Either bound may stand alone.
     """
-    conditions = date_range("transaction_date", start, end)
+    conditions = _booked_in(ledger, start, end)
     if type:
         conditions.append(F.col("type") == type)
     if category:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallybook.functions.rows import paginate, where_all
+from tallybook.functions.rows import Page, page_and_total, paginate, where_all
 from tallybook.functions.text import contains_any, distinct_text, fold_key, same_text
 
 # The category recipes draw their ingredients from.
@@ -56,6 +56,10 @@ def ingredient_picker(products: DataFrame, category: str = INGREDIENT_CATEGORY)
     )
 
 
+def _by_name() -> list[Column]:
+    return [fold_key("name").asc(), F.asc("id")]
+
+
 def _matching(
     products: DataFrame, category: str | None, stock: str | None, search: str | None
 ) -> DataFrame:
@@ -76,10 +80,21 @@ def product_search(
     limit: int = 10,
 ) -> DataFrame:
     """One page of the matching products by name, each with its stock label."""
-    found = _matching(products, category, stock, search)
-    return paginate(
-        found.withColumn("stock_status", stock_label()), [fold_key("name").asc(), F.asc("id")], page, limit
-    )
+    found = _matching(products, category, stock, search).withColumn("stock_status", stock_label())
+    return paginate(found, _by_name(), page, limit)
+
+
+def product_search_page(
+    products: DataFrame,
+    category: str | None = None,
+    stock: str | None = None,
+    search: str | None = None,
+    page: int = 1,
+    limit: int = 10,
+) -> Page:
+    """``product_search`` and ``product_search_total`` of the same filters, from one scan."""
+    found = _matching(products, category, stock, search).withColumn("stock_status", stock_label())
+    return page_and_total(found, _by_name(), page, limit)
 
 
 def product_search_total(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.functions.clock import Moment, as_datetime, ts_lit
-from tallybook.functions.rows import nest, paginate, small_page, where_all
+from tallybook.functions.rows import Page, nest, page_and_total, paginate, small_page, where_all
 from tallybook.functions.text import contains_any, distinct_text, fold_key, same_text
 
 POPULAR_DAYS = 30  # Fixed value: how long a preparation counts towards popularity.
@@ -45,13 +45,36 @@ def recipe_list(
 
     The page is cut first; only ingredients of its recipes are joined and counted.
     """
-    by_name = [fold_key("name").asc(), F.asc("id")]
-    wanted = paginate(
-        _matching(recipes, category, search).select("id", "name", "category", "prep_time", "image_url"),
-        by_name,
-        page,
-        limit,
-    )
+    wanted = paginate(_listed(recipes, category, search), _by_name(), page, limit)
+    return _with_ingredient_counts(wanted, ingredients, products, limit)
+
+
+def recipe_list_page(
+    recipes: DataFrame,
+    ingredients: DataFrame,
+    products: DataFrame,
+    category: str | None = None,
+    search: str | None = None,
+    page: int = 1,
+    limit: int = 9,
+) -> Page:
+    """``recipe_list`` and ``recipe_list_total`` of the same filters, from one scan of the recipes."""
+    found = page_and_total(_listed(recipes, category, search), _by_name(), page, limit)
+    return Page(_with_ingredient_counts(found.rows, ingredients, products, limit), found.total)
+
+
+def _by_name() -> list[Column]:
+    return [fold_key("name").asc(), F.asc("id")]
+
+
+def _listed(recipes: DataFrame, category: str | None, search: str | None) -> DataFrame:
+    found = _matching(recipes, category, search)
+    return found.select("id", "name", "category", "prep_time", "image_url")
+
+
+def _with_ingredient_counts(
+    wanted: DataFrame, ingredients: DataFrame, products: DataFrame, limit: int
+) -> DataFrame:
     used = ingredients.select("recipe_id", "product_id").join(
         small_page(wanted.select(F.col("id").alias("recipe_id")), limit), "recipe_id"
     )
@@ -67,7 +90,7 @@ def recipe_list(
         wanted.join(small_page(counts, limit), "id", "left")
         .withColumn("ingredients_count", F.coalesce("ingredients_count", F.lit(0)))
         .withColumn("missing_ingredients", F.coalesce("missing_ingredients", F.lit(0)))
-        .orderBy(*by_name)
+        .orderBy(*_by_name())
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,12 +16,13 @@ from tallybook.functions.clock import (
     period_bounds,
     ts_lit,
 )
-from tallybook.functions.rows import money, nest, paginate, small_page, stack_metrics
+from tallybook.functions.months import MONTH_COLUMNS, during, last_instant, months_between
+from tallybook.functions.rows import money, nest, paginate, small_page, stack_metrics, where_all
 from tallybook.functions.text import fold_key
+from tallybook.schemas import OPEN_STATUSES
+from tallybook.sources.monthly import IS_OPEN
 
-# Statuses of an order that is not done yet; days a best-seller is counted over.
-OPEN_STATUSES = ("pending", "preparing")
-TOP_DAYS = 30
+TOP_DAYS = 30  # Fixed value: the days a best-seller is counted over.
 
 
 def _change(today: Column, yesterday: Column) -> Column:
@@ -37,7 +40,7 @@ def sales_kpis(orders: DataFrame, products: DataFrame, customers: DataFrame, as_
     today = period_bounds(as_of, "day")
     yesterday = (today[0] - timedelta(days=1), today[0])
     is_today, is_yesterday = (in_period("order_date", p) for p in (today, yesterday))
-    sold = orders.where(in_period("order_date", (yesterday[0], today[1]))).select(
+    sold = during(orders, "order_date", (yesterday[0], today[1])).select(
         F.when(is_today, F.col("total_amount")).alias("sales_t"),
         F.when(is_yesterday, F.col("total_amount")).alias("sales_y"),
         F.when(is_today, 1).alias("orders_t"),
@@ -72,16 +75,24 @@ def top_products(
 
     The window opens at midnight and has no end. Lines are counted per product before the
     product names come in, so a best-seller reaches that join as one row. Products sharing
-    a name count together.
+    a name count together. Of lines laid out by month, the months of the window are read.
     """
     since = period_bounds(as_of, "day")[0] - timedelta(days=days)
-    recent = orders.where(F.col("order_date") >= ts_lit(since)).select(F.col("id").alias("order_id"))
+    month = MONTH_COLUMNS["order_date"]
+    shared = [month] if month in items.columns and month in orders.columns else []
+    dated = [*months_between(orders, "order_date", since), F.col("order_date") >= ts_lit(since)]
+    recent = where_all(orders, dated).select(F.col("id").alias("order_id"), *shared)
     per_product = (
-        items.select("order_id", "product_id")
-        .join(recent, "order_id", "left_semi")
+        items.select("order_id", "product_id", *shared)
+        .join(recent, ["order_id", *shared], "left_semi")
         .groupBy("product_id")
         .agg(F.count(F.lit(1)).alias("_lines"))
     )
+    return best_sellers(per_product, products, n)
+
+
+def best_sellers(per_product: DataFrame, products: DataFrame, n: int) -> DataFrame:
+    """The ``n`` names with most ``_lines`` of (product_id, _lines)."""
     names = products.select(F.col("id").alias("product_id"), "name")
     return (
         per_product.join(names, "product_id")
@@ -150,7 +161,7 @@ def recent_orders_total(orders: DataFrame) -> DataFrame:
 def sales_by_weekday(orders: DataFrame, as_of: Moment) -> DataFrame:
     """Revenue per weekday of the Monday-to-Sunday week of ``as_of``; listed Sunday first."""
     return (
-        orders.where(in_period("order_date", period_bounds(as_of, "week")))
+        during(orders, "order_date", period_bounds(as_of, "week"))
         .groupBy(
             F.dayofweek("order_date").alias("dow"), F.date_format("order_date", "EEEE").alias("day")
         )
@@ -163,7 +174,7 @@ def sales_by_weekday(orders: DataFrame, as_of: Moment) -> DataFrame:
 def sales_by_month_day(orders: DataFrame, as_of: Moment) -> DataFrame:
     """Revenue per day of the month of ``as_of``; days without sales are absent."""
     return (
-        orders.where(in_period("order_date", period_bounds(as_of, "month")))
+        during(orders, "order_date", period_bounds(as_of, "month"))
         .groupBy(F.dayofmonth("order_date").alias("day"))
         .agg(money(F.col("total_amount")).alias("total"))
         .orderBy("day")
@@ -173,7 +184,7 @@ def sales_by_month_day(orders: DataFrame, as_of: Moment) -> DataFrame:
 def sales_by_year_month(orders: DataFrame, as_of: Moment) -> DataFrame:
     """Revenue per month of the year of ``as_of``."""
     return (
-        orders.where(in_period("order_date", period_bounds(as_of, "year")))
+        during(orders, "order_date", period_bounds(as_of, "year"))
         .groupBy(
             F.month("order_date").alias("_month"), F.date_format("order_date", "MMMM").alias("month")
         )
@@ -192,7 +203,8 @@ def sales_series(orders: DataFrame, as_of: Moment, period: str) -> DataFrame:
 def sales_totals(orders: DataFrame, as_of: Moment) -> DataFrame:
     """Revenue of the day, the Sunday-to-Saturday week and the month, and open orders.
 
-    One scan; unlike the weekday series, this week starts on Sunday.
+    One scan; unlike the weekday series, this week starts on Sunday. Orders laid out by month are
+    read for the months of the periods and, elsewhere, only as far as they are open.
     """
     spans = {
         name: period_bounds(as_of, unit)
@@ -200,6 +212,9 @@ def sales_totals(orders: DataFrame, as_of: Moment) -> DataFrame:
     }
     whole = (min(s[0] for s in spans.values()), max(s[1] for s in spans.values()))
     is_open = F.col("status").isin(*OPEN_STATUSES)
+    months = months_between(orders, "order_date", whole[0], last_instant(whole))
+    if months and IS_OPEN in orders.columns:
+        orders = orders.where((F.col(IS_OPEN) == 1) | reduce(and_, months))
     return orders.where(in_period("order_date", whole) | is_open).agg(
         *[
             money(F.when(in_period("order_date", span), F.col("total_amount"))).alias(name)

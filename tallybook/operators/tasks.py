@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.functions.clock import Moment, iso_seconds, ts_lit
-from tallybook.functions.rows import paginate, where_all
+from tallybook.functions.rows import Page, page_and_total, paginate, where_all
 from tallybook.functions.text import contains_any
 
 DONE = "completed"
@@ -79,7 +79,27 @@ def tasks_search(
 ) -> DataFrame:
     """One page of tasks. ``filter``: all, overdue or a status; ``sort``: due_date_asc (also
     for anything unknown), due_date_desc, priority_asc (high first), priority_desc."""
-    found = _matching(tasks, as_of, search, filter).select(
+    wanted = paginate(_listed(tasks, as_of, search, filter), _order(sort), page, limit)
+    return _shown(wanted, categories, sort)
+
+
+def tasks_search_page(
+    tasks: DataFrame,
+    categories: DataFrame,
+    as_of: Moment,
+    search: str | None = None,
+    filter: str | None = None,
+    sort: str | None = None,
+    page: int = 1,
+    limit: int = 10,
+) -> Page:
+    """``tasks_search`` and ``tasks_search_total`` of the same filters, from one scan of the tasks."""
+    found = page_and_total(_listed(tasks, as_of, search, filter), _order(sort), page, limit)
+    return Page(_shown(found.rows, categories, sort), found.total)
+
+
+def _listed(tasks: DataFrame, as_of: Moment, search: str | None, status: str | None) -> DataFrame:
+    return _matching(tasks, as_of, search, status).select(
         "id",
         "title",
         "description",
@@ -89,11 +109,12 @@ def tasks_search(
         "category_id",
         "reminder_minutes",
     )
-    order = _order(sort)
-    wanted = paginate(found, order, page, limit)
+
+
+def _shown(wanted: DataFrame, categories: DataFrame, sort: str | None) -> DataFrame:
     return (
         _with_category(wanted, categories)
-        .orderBy(*order)
+        .orderBy(*_order(sort))
         .withColumn("due_date", iso_seconds("due_date"))
     )
 

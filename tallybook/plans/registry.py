@@ -7,12 +7,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.plans import report_sql, reports, streams, write_sql, writes
+from tallybook.plans import layouts, report_sql, reports, streams, write_sql, writes
 from tallybook.session import configure
 from tallybook.sources.bindings import Bindings
 
-QUERIES = {**reports.QUERIES, **writes.QUERIES, **streams.QUERIES}
-SQL = {**report_sql.SQL, **write_sql.SQL, **write_sql.STREAM_SQL}
+QUERIES = {**reports.QUERIES, **writes.QUERIES, **streams.QUERIES, **layouts.QUERIES}
+SQL = {**report_sql.SQL, **write_sql.SQL, **write_sql.STREAM_SQL, **layouts.SQL}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

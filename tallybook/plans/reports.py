@@ -22,7 +22,7 @@ from tallybook.sources.bindings import Bindings
 Query = Callable[[Bindings], DataFrame]
 
 
-def _items_text(documents: DataFrame, column: str, fields: list[str]) -> DataFrame:
+def items_text(documents: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """Nested lines as text, so that the whole document can be compared value by value."""
     line = lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])
     return documents.withColumn(column, F.array_join(F.transform(column, line), ","))
@@ -30,7 +30,7 @@ def _items_text(documents: DataFrame, column: str, fields: list[str]) -> DataFra
 
 def _sales_documents(b: Bindings) -> DataFrame:
     found = sales.sales_documents(b.orders, b.customers, b.order_items, b.products)
-    return _items_text(found, "items", ["product", "quantity", "valor"])
+    return items_text(found, "items", ["product", "quantity", "valor"])
 
 
 def _sale_details(b: Bindings) -> DataFrame:
@@ -39,12 +39,12 @@ def _sale_details(b: Bindings) -> DataFrame:
     found = sales.sale_details(b.orders, b.customers, b.order_items, b.products, ids)
     for name in ("total_amount", "amount_received", "change_given"):
         found = found.withColumn(name, F.col(name).cast("double"))
-    return _items_text(found, "items", ["product", "product_name", "quantity", "valor"])
+    return items_text(found, "items", ["product", "product_name", "quantity", "valor"])
 
 
 def _recipe_details(b: Bindings) -> DataFrame:
     found = recipes.recipe_details(b.recipes, b.recipe_ingredients, b.products)
-    return _items_text(found, "ingredients", ["id", "name", "quantity", "unit", "notes", "product_id", "missing"])
+    return items_text(found, "ingredients", ["id", "name", "quantity", "unit", "notes", "product_id", "missing"])
 
 
 def _product_lookup(b: Bindings) -> DataFrame:

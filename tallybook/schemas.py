@@ -45,6 +45,8 @@ SCHEMAS: dict[str, T.StructType] = {name: _struct(text) for name, text in _COLUM
 
 # Allowed values, in declaration order (the order is also the sort order).
 ORDER_STATUSES = ("pending", "paid", "preparing", "on_delivery", "delivered")
+# Statuses of an order that is not done yet.
+OPEN_STATUSES = ("pending", "preparing")
 CHANNELS = ("whatsapp", "ifood", "balcao")
 PAYMENT_METHODS = ("dinheiro", "cartao_credito", "cartao_debito", "pix", "outro")
 TASK_PRIORITIES = ("low", "medium", "high")

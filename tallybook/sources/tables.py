@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallybook.schemas import DEFAULTS, ENUMS, SCHEMAS
 
@@ -122,3 +123,20 @@ def to_json_documents(df: DataFrame) -> DataFrame:
 
 def write_json_documents(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
+
+
+def read_json_documents(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """JSON lines, nested arrays included, in the given columns; a line that does not fit is an error."""
+    return spark.read.schema(columns).option("mode", "FAILFAST").json(path)
+
+
+def json_values(documents: DataFrame, values: Mapping[str, tuple[str, str]], json: str = "json") -> DataFrame:
+    """Values picked out of documents whose form is not declared: name -> (path, type).
+
+    A path such as ``$.items[0].product`` that a document lacks, a value that is not of the type
+    and text that is no JSON give NULL. An array may be taken whole, as ``array<variant>`` or an
+    array of structs. The text is parsed once, whatever is picked.
+    """
+    parsed = documents.withColumn("_document", F.try_parse_json(F.col(json)))
+    picked = [F.try_variant_get("_document", path, kind).alias(name) for name, (path, kind) in values.items()]
+    return parsed.select(*documents.columns, *picked)
