@@ -65,7 +65,8 @@ def pack_documents(
     prepare(docs.sparkSession)
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    texts = spread(texts, F.col("id"), F.col("text"))
+    # Rows come out of a shuffle in any order; sorted, a task that is run again packs the same.
+    texts = spread(texts, F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
     numbered = texts.withColumn("task", F.spark_partition_id())
     return numbered.mapInArrow(_pack_texts(shared, limits, end_id, window, keep_ids), PIECES)
 
