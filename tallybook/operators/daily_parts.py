@@ -1,8 +1,8 @@
 """Thirty-day figures from daily parts (A2, A18).
 
-The parts of a day are written once, as its rows arrive, in a folder of that day. A report reads
-the days of its window and neither the log nor the orders. Late rows of an old day are one more
-part of it.
+The parts of a day are written once, as its rows arrive, in the folder of its month and sorted by
+day there, as a folder a day would be thousands of small files. A report reads the days of its
+window and neither the log nor the orders. Late rows of an old day are one more part of it.
 
 * Recipes prepared on a day are a set: bitmaps of 32,768 ids each, exact, put together by OR.
   A window that opens in the midst of a day also needs to know when each recipe was last prepared
@@ -13,11 +13,11 @@ part of it.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallybook.functions.clock import Moment, as_date, as_datetime, date_lit, period_bounds, ts_lit
+from tallybook.functions.clock import Moment, as_date, as_datetime, period_bounds, ts_lit
 from tallybook.operators.recipes import POPULAR_DAYS
 from tallybook.operators.sales import TOP_DAYS, best_sellers
 from tallybook.sources.scratch import materialize
@@ -28,9 +28,19 @@ _LINES = "day DATE, product_id BIGINT, lines BIGINT"
 
 
 def _add(parts: DataFrame, key: str, path: str) -> None:
-    """Parts appended to their days; neighbours in (day, key) share a file."""
-    ranged = parts.repartitionByRange("day", key).sortWithinPartitions("day", key)
-    ranged.write.partitionBy("day").mode("append").parquet(path)
+    """Parts appended to their months; neighbours in (day, key) share a file."""
+    months = parts.withColumn("month", F.trunc("day", "month"))
+    ranged = months.repartitionByRange("month", "day", key).sortWithinPartitions("month", "day", key)
+    ranged.write.partitionBy("month").mode("append").parquet(path)
+
+
+def _days(spark: SparkSession, path: str, columns: str, start: date, end: date | None = None) -> DataFrame:
+    """Parts of the days from ``start`` to ``end``, both included: the months are picked by folder,
+    the days by the ranges their files keep."""
+    day, month = F.col("day"), F.col("month")
+    found = spark.read.schema(f"{columns}, month DATE").parquet(path)
+    found = found.where((month >= F.lit(start.replace(day=1))) & (day >= F.lit(start)))
+    return found if end is None else found.where((month <= F.lit(end.replace(day=1))) & (day <= F.lit(end)))
 
 
 def _bits(key: str) -> Column:
@@ -55,13 +65,9 @@ def add_preparations(log: DataFrame, root: str) -> None:
 
 def prepared_since(spark: SparkSession, root: str, since: Moment) -> DataFrame:
     """(bucket, bits) of the recipes prepared at ``since`` or later."""
-    day = F.col("day")
-    whole = spark.read.schema(_SETS).parquet(f"{root}/sets").where(day > date_lit(since))
-    edge = (
-        spark.read.schema(_LAST)
-        .parquet(f"{root}/last")
-        .where((day == date_lit(since)) & (F.col("last_at") >= ts_lit(since)))
-    )
+    first = as_date(since)
+    whole = _days(spark, f"{root}/sets", _SETS, first + timedelta(days=1))
+    edge = _days(spark, f"{root}/last", _LAST, first, first).where(F.col("last_at") >= ts_lit(since))
     edge = edge.groupBy(_bucket("recipe_id")).agg(_bits("recipe_id"))
     both = whole.select("bucket", "bits").unionByName(edge)
     return both.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
@@ -123,9 +129,7 @@ def top_products_from_days(
     """``top_products`` from the daily counts under ``root``; its window opens at midnight, so days do."""
     since = as_date(period_bounds(as_of, "day")[0] - timedelta(days=days))
     per_product = (
-        products.sparkSession.read.schema(_LINES)
-        .parquet(f"{root}/lines")
-        .where(F.col("day") >= date_lit(since))
+        _days(products.sparkSession, f"{root}/lines", _LINES, since)
         .groupBy("product_id")
         .agg(F.sum("lines").alias("_lines"))
     )

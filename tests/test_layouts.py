@@ -154,7 +154,7 @@ def test_counts_from_days_equal_those_of_the_log(spark, folder):
         want = rows(recipes.recipe_counts(kept, log, used, goods, as_of))
         found = recipe_counts_from_days(kept, used, goods, folder, as_of)
         assert rows(found) == want, as_of
-        assert len({text for text in _partition_filters(found) if "day#" in text}) == 2
+        assert len({text for text in _partition_filters(found) if "month#" in text}) == 2
     nobody = kept.where("false")
     assert rows(recipe_counts_from_days(nobody, used, goods, folder, "2024-02-01")) == [(0, 0, 0)]
 
