@@ -14,6 +14,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import difference
@@ -442,6 +443,37 @@ def test_language_left_out_is_rejected_more_often(spark):
 # Top-k
 
 
+def test_top_inner_products_leave_far_cells_out(spark):
+    """Clusters far apart, a dimension that a small sample may lack: exact, and few cells are asked."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-40, 40, (12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.5, 16)).tolist()) for i in range(1200)]
+    rows += [(5000 + 50 * i, [float(i), 1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows}
+    want = []
+    for q in [i for i in whole if i % 50 == 0]:
+        scores = [(-int(v @ whole[q]), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+        want += [(q, rank, i, -score) for rank, (score, i) in enumerate(sorted(scores)[:5], 1)]
+    for sample in (400, 60):
+        found = topk.top_inner_products(df, shard_rows=60, pivots=12, pivot_sample=sample)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    table = topk._pivots([whole[i].tolist() for i in range(1200)], 12)
+    vectors = [whole[i].tolist() for i in range(1200)]
+    placed = list(topk._place(table)([_vector_batch(range(1200), vectors)]))[0].to_pandas()
+    cells = [(c, 1, g.away.min(), g.away.max(), g.square.max()) for c, g in placed.groupby("cell")]
+    asking = [i for i in range(1200) if i % 50 == 0]
+    known = {16: (np.arange(1200), np.array(vectors, dtype=np.float64))}
+    run = topk._visits(table, cells, {c[0]: n for n, c in enumerate(cells)}, known, 5)
+    visits = sum(len(b) for b in run([_vector_batch(asking, [vectors[i] for i in asking])]))
+    assert visits < len(asking) * len(cells) / 2
+
+
+def _vector_batch(ids, vectors):
+    columns = [pa.array(list(ids), pa.int64()), pa.array(vectors, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "v"])
+
+
 def test_top_inner_products_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
