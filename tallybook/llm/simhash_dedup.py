@@ -5,6 +5,10 @@ parts of their 64 bits. Each part has a vantage-point tree over the Hamming dist
 node keeps a vantage point and a radius, fingerprints within the radius go inside and the others
 outside. A fingerprint lives in one leaf and asks in every leaf that the triangle inequality
 leaves open, so shards overlap at their boundaries only and all pairs are found exactly.
+
+The trees that deal fingerprints out have at most 2 ** 14 leaves each, so what the driver and every
+task hold of them is bounded. A task that meets more fingerprints in a leaf than it was planned for
+grows the tree on below it, over the fingerprints of that leaf alone.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ def simhash_groups(
     bits: int = 4,
     bands: int = 3,
     leaf: int = 1024,
-    block: int = 8192,
+    block: int = 1 << 15,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``id``, ``h`` (hash of its text), ``row``, ``fp``, ``root`` and ``component_id``.
@@ -46,8 +50,8 @@ def simhash_groups(
     of the group has an id. ``root``, the smallest fingerprint reachable, tells such groups apart.
     ``row`` is the long in ``row_col``, null without one. Repeated rows each come out.
 
-    ``leaf`` is the number of fingerprints a leaf is planned for. A leaf with more than ``block``
-    of them is searched in several parts by tasks of their own.
+    ``leaf`` is the number of fingerprints a leaf is planned for; a task cuts larger ones further.
+    A leaf with more than ``block`` of them is searched in several parts by tasks of their own.
     """
     prepare(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, row_col), "prints")
@@ -86,7 +90,7 @@ def linked(prints: DataFrame, bits: int, bands: int, leaf: int, block: int) -> D
     parts = {r["shard"]: -(-r["count"] // block) for r in sizes}
     visits = nodes.mapInArrow(_visit(forest, parts, homes_only=False), "shard int, part int, asks boolean, fp long")
     dealt = visits.repartition("shard", "part").sortWithinPartitions("shard", "part", "asks")
-    links = dealt.mapInArrow(_link(bits), "a long, b long")
+    links = dealt.mapInArrow(_link(bits, forest, leaf), "a long, b long")
     return connected(links)
 
 
@@ -204,10 +208,11 @@ def _visit(forest, parts: dict[int, int], homes_only: bool):
             at, node = np.concatenate((at[inside], at[outside])), np.concatenate((2 * node[inside] + 1, 2 * node[outside] + 2))
         return at, node - (2**depth - 1) + tree * 2**depth
 
+    counts = np.ones(len(trees) * 2**depth, dtype=np.int64)
+    counts[list(parts)] = list(parts.values())
+
     def split(shard: np.ndarray, fp: np.ndarray, asks: bool):
-        count = np.ones(len(shard), dtype=np.int64)
-        for k, v in parts.items():
-            count[shard == k] = v
+        count = counts[shard]
         if not asks:
             return shard, fp, (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % count
         part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -225,12 +230,51 @@ def _visit(forest, parts: dict[int, int], homes_only: bool):
     return run
 
 
-def _link(bits: int, asked_at_once: int = 256):
+def _grown(own: np.ndarray, mask: np.uint64, leaf: int):
+    """A tree below one shard: ``(point, radius, inside, outside)`` at nodes, places in ``own`` at leaves.
+
+    Fingerprints equal under ``mask`` cannot be told apart and stay in one leaf however many they are.
+    """
+    rng = np.random.default_rng(7)
+
+    def grow(places: np.ndarray):
+        if len(places) <= leaf:
+            return places
+        some = own[rng.choice(places, min(256, len(places)), replace=False)]
+        spread_of = np.bitwise_count((some[None, :] ^ some[:8, None]) & mask).astype(np.int64).std(axis=1)
+        point = some[int(spread_of.argmax())]
+        away = np.bitwise_count((own[places] ^ point) & mask).astype(np.int64)
+        radius = min(int(np.median(away)), int(away.max()) - 1)
+        if radius < 0:
+            return places
+        return point, radius, grow(places[away <= radius]), grow(places[away > radius])
+
+    return grow(np.arange(len(own)))
+
+
+def _reached(tree, asking: np.ndarray, mask: np.uint64, reach: int):
+    """Leaves of a grown tree, each with the places in ``asking`` of those that have to ask there."""
+    open_ = [(tree, np.arange(len(asking)))]
+    while open_:
+        node, at = open_.pop()
+        if len(at) == 0:
+            continue
+        if isinstance(node, np.ndarray):
+            yield node, at
+            continue
+        point, radius, inside, outside = node
+        away = np.bitwise_count((asking[at] ^ point) & mask).astype(np.int64) - radius
+        open_ += [(inside, at[away <= reach]), (outside, at[away > -reach])]
+
+
+def _link(bits: int, forest, leaf: int, compared_at_once: int = 1 << 21):
     """Task function over the visits of each shard: links that connect what is close there.
 
-    Fingerprints of a shard that one asking fingerprint is close to are connected by one link
+    Fingerprints of a leaf that one asking fingerprint is close to are connected by one link
     each, so a dense shard gives a spanning forest, not all its pairs.
     """
+    depth, reach, trees = forest
+    masks = [mask for mask, _, _ in trees]
 
     def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         def top(x: int) -> int:
@@ -243,8 +287,26 @@ def _link(bits: int, asked_at_once: int = 256):
             x, y = top(x), top(y)
             root[max(x, y)] = min(x, y)
 
+    def compared(places: np.ndarray, asking: np.ndarray, homes: np.ndarray, root: np.ndarray):
+        """Links of ``asking`` with the homes at ``places``; homes close to the same one are merged."""
+        near = homes[places]
+        step = max(1, compared_at_once // len(near))
+        for k in range(0, len(asking), step):
+            some = asking[k : k + step]
+            q, x = np.nonzero(np.bitwise_count(some[:, None] ^ near[None, :]) <= bits)
+            apart = some[q] != near[x]
+            if not apart.any():
+                continue
+            first = np.full(len(some), -1, dtype=np.int64)
+            first[q[::-1]] = x[::-1]
+            linking = np.unique(q[apart])
+            yield batch(_LINKS, some[linking].view(np.int64), near[first[linking]].view(np.int64))
+            several = x != first[q]
+            if several.any():
+                merged(root, places[x[several]], places[first[q[several]]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, homes, root = None, [], None
+        current, homes, root, tree = None, [], None, None
 
         def closed():
             if root is not None:
@@ -267,21 +329,11 @@ def _link(bits: int, asked_at_once: int = 256):
                     homes = np.concatenate((homes, own))
                 if len(homes) == 0 or len(asking) == 0:
                     continue
+                mask = masks[int(shard[i]) >> depth]
                 if root is None:
-                    root = np.arange(len(homes))
-                for k in range(0, len(asking), asked_at_once):
-                    some = asking[k : k + asked_at_once]
-                    q, x = np.nonzero(np.bitwise_count(some[:, None] ^ homes[None, :]) <= bits)
-                    apart = some[q] != homes[x]
-                    if not apart.any():
-                        continue
-                    first = np.full(len(some), -1, dtype=np.int64)
-                    first[q[::-1]] = x[::-1]
-                    linking = np.unique(q[apart])
-                    yield batch(_LINKS, some[linking].view(np.int64), homes[first[linking]].view(np.int64))
-                    several = x != first[q]
-                    if several.any():
-                        merged(root, x[several], first[q[several]])
+                    root, tree = np.arange(len(homes)), _grown(homes, mask, leaf)
+                for places, at in _reached(tree, asking, mask, reach):
+                    yield from compared(places, asking[at], homes, root)
         yield from closed()
 
     return run

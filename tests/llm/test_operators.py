@@ -189,6 +189,56 @@ def test_simhash_links_across_many_leaves(spark):
         assert found.get(a, a) == found.get(b, b)
 
 
+def test_trees_grown_below_a_shard_miss_no_pair():
+    rng = np.random.default_rng(5)
+    mask = np.uint64((1 << 21) - 1)
+    same = rng.integers(0, 1 << 40, 300, dtype=np.uint64) << np.uint64(21) | np.uint64(77)
+    own = np.concatenate((rng.integers(0, 1 << 64, 2000, dtype=np.uint64), same))
+    asking = np.concatenate((own[::7] ^ np.uint64(1 << 3), own[::11]))
+    tree = simhash_dedup._grown(own, mask, 16)
+    met, compared = set(), 0
+    for places, at in simhash_dedup._reached(tree, asking, mask, 1):
+        assert len(places) <= 16 or len(np.unique(own[places] & mask)) == 1
+        close = np.bitwise_count((asking[at][:, None] ^ own[places][None, :]) & mask) <= 1
+        met |= {(int(at[q]), int(places[x])) for q, x in zip(*np.nonzero(close))}
+        compared += len(places) * len(at)
+    close = np.bitwise_count((asking[:, None] ^ own[None, :]) & mask) <= 1
+    assert met == {(int(q), int(x)) for q, x in zip(*np.nonzero(close))}
+    assert compared < len(own) * len(asking) / 2
+
+
+@pytest.mark.parametrize("prints", [[5] * 40, [5], [], [1, 2, 4, 8, 0]])
+def test_grown_trees_end_on_equal_fingerprints(prints):
+    own = np.array(prints, dtype=np.uint64)
+    tree = simhash_dedup._grown(own, np.uint64(0xFF), 2)
+    found = [p for places, _ in simhash_dedup._reached(tree, own[:1], np.uint64(0xFF), 64) for p in places.tolist()]
+    assert sorted(found) == (list(range(len(own))) if prints else [])
+
+
+@pytest.mark.parametrize("block", [64, 1 << 15])
+def test_simhash_links_in_crowded_leaves(spark, block, monkeypatch):
+    plant = simhash_dedup._plant
+    monkeypatch.setattr(simhash_dedup, "_plant", lambda nodes, bits, bands, leaf: plant(nodes, bits, bands, leaf, max_depth=1))
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+    near = base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (600, 4)).astype(np.uint64), axis=1)
+    prints = np.unique(np.concatenate((base, near, np.arange(50, dtype=np.uint64))))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp bigint")
+    found = {r.node: r.root for r in simhash_dedup.linked(df, 4, 3, 16, block).collect()}
+    root = {int(x): int(x) for x in prints.view(np.int64)}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    q, x = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+    for a, b in zip(prints[q].view(np.int64).tolist(), prints[x].view(np.int64).tolist()):
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    assert found == {x: top(x) for x in root if top(x) != x}
+
+
 def test_simhash_of_nothing(none):
     assert simhash_dedup.simhash_groups(none).count() == 0
 
