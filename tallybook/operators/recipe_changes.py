@@ -124,8 +124,15 @@ def _placed(judged: DataFrame, accepted: DataFrame, as_of: Moment | None) -> Dat
 
 
 def _rejected(heads: DataFrame, judged: DataFrame) -> DataFrame:
-    """Recipes that do not fit, and the keys of lines without a recipe."""
-    stray = judged.select("feed_id").distinct().join(heads.select("feed_id"), "feed_id", "left_anti")
+    """Recipes that do not fit, and the keys of lines without a recipe.
+
+    The keys of both tables meet in one aggregate: a join would go by the size of the compressed
+    files and broadcast every key of a long feed.
+    """
+    of_lines = judged.select("feed_id", F.lit(False).alias("_listed"))
+    of_heads = heads.where(F.col("feed_id").isNotNull()).select("feed_id", F.lit(True).alias("_listed"))
+    keys = of_lines.unionByName(of_heads).groupBy("feed_id").agg(F.bool_or("_listed").alias("_listed"))
+    stray = keys.where(~F.col("_listed")).select("feed_id")
     return (
         heads.where(F.col("reject_reason").isNotNull())
         .select("feed_id", "reject_reason")

@@ -83,3 +83,20 @@ def test_nothing_to_write(spark):
         frame(spark, FEED, []), frame(spark, LINES, []), as_of=shop.AS_OF,
     )
     assert (done.recipes.count(), done.ingredients.count(), done.rejected.count()) == (3, 6, 0)
+
+
+@pytest.mark.parametrize("write", [insert_recipes, revise_recipes])
+def test_keys_of_a_long_feed_are_not_broadcast(spark, write):
+    """However small the optimizer takes the written feed to be, its keys stay where they are."""
+    feed, _ = random_feed(3)
+    heads = frame(spark, FEED, [*feed, (None, 1, "Torta", "Doces", 5, "mexa")])
+    lines = [(k, 1, 99, shop.Decimal(1), "kg", None) for k in (feed[0][0], 5, 5, None)]
+    heads = heads.drop("id") if write is insert_recipes else heads
+    done = write(
+        shop.recipes(spark), shop.recipe_ingredients(spark), shop.products(spark), heads, frame(spark, LINES, lines)
+    )
+    plan = done.rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    found = rows(done.rejected)
+    assert [r for r in found if r[1] == "unknown:feed_id"].count((5, "unknown:feed_id")) == 1
+    assert sorted(r[1] for r in found if r[0] is None) == ["missing:feed_id", "unknown:feed_id"]
