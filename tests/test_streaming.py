@@ -219,3 +219,38 @@ def test_a_batch_folder_is_overwritten_not_added_to(spark, folder):
     assert sorted(rows(latest(spark, folder, ["k"]))) == [(1, 3), (2, 4)]
 
 
+
+
+def few_events(spark, folder, count=40):
+    """Events of a month, written in many files."""
+    kinds = ("view", "purchase", "click", "error")
+    events = [(k, at(f"2024-01-{1 + k % 30:02d}"), k % 3, kinds[k % 4], 1.0, None) for k in range(count)]
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    frame(spark, columns, events).repartition(8).write.parquet(f"{folder}/events.parquet")
+
+
+def test_a_log_of_many_files_is_counted_in_few_batches(spark, folder, monkeypatch):
+    from tallybook.plans import streams
+    from tallybook.sources.bindings import Bindings
+
+    few_events(spark, folder)
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, label: f"{folder}/{label}")
+    b = Bindings(spark, folder)
+    counts = streams.QUERIES["stream_recipe_counts_replayed"](b)
+    assert sorted(rows(counts)) == sorted(rows(action_counts(b.recipe_feed)))
+    written = len(spark.read.parquet(f"{folder}/recipe-counts/log").inputFiles())
+    batches = [x for x in os.listdir(f"{folder}/recipe-counts/out") if x.startswith("batch=")]
+    assert written > 2 * streams.COUNT_BATCHES >= 2 * len(batches) > 2
+
+
+def test_a_step_arrives_in_many_files_and_one_batch(spark, folder):
+    from tallybook.plans.streams import _arrive
+    from tallybook.streaming.files import write_updates
+
+    few_events(spark, folder)
+    events = spark.read.parquet(f"{folder}/events.parquet").repartition(8)
+    steps = [F.col("event_id") % 2 == 0, F.col("event_id") < 0, F.col("event_id") % 2 == 1]
+    _arrive(events, folder, steps, lambda df: write_updates(df.select("event_id"), f"{folder}/out", f"{folder}/state"))
+    found = spark.read.parquet(f"{folder}/out")
+    assert sorted(rows(found.groupBy("batch").count())) == [(0, 20), (2, 20)]
+    assert len(spark.read.parquet(f"{folder}/feed").inputFiles()) > 3
