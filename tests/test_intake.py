@@ -505,3 +505,32 @@ def test_components_of_chains_stars_and_rings(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(shuffled, "a bigint, b bigint")).collect()}
     want = {n: 0 for n in range(301)} | {1000 + i: 1000 for i in range(50)} | {2000 + i: 2000 for i in range(40)}
     assert found == want | {9999: 9999}
+
+
+@pytest.mark.parametrize("tail_rows", [20_000, 0])
+@pytest.mark.parametrize("block_orders", [5, 100_000])
+def test_turns_and_shared_products_change_nothing(spark, monkeypatch, block_orders, tail_rows):
+    """A batch in four turns, with a product of more lines than a block: each row passes few rounds."""
+    import random
+
+    from tallybook.operators import allocation
+
+    rng = random.Random(11)
+    orders = [(i, rng.randint(0, 9) * 1000 + i) for i in range(120)]
+    items = [(i, p, rng.randint(1, 5)) for i in range(120) for p in {0, rng.randint(1, 25), rng.randint(1, 25)}]
+    stock = {p: rng.randint(0, 40) for p in range(26)} | {0: 90}
+    monkeypatch.setattr(allocation, "TURN_ROWS", 50)
+    monkeypatch.setattr(allocation, "TAIL_ROWS", tail_rows)
+    fronts = []
+    write = allocation.materialize
+    monkeypatch.setattr(allocation, "materialize", lambda df, label="table": fronts.append(label) or write(df, label))
+    found = allocation.allocate_stock(
+        spark.createDataFrame(orders, "feed_id bigint, arrival_seq bigint"),
+        spark.createDataFrame(items, "feed_id bigint, product_id bigint, quantity int"),
+        spark.createDataFrame([(p, f"p{p}", s) for p, s in stock.items()], "id bigint, name string, current_stock int"),
+        block_orders=block_orders,
+    )
+    verdicts, shortages = sequential.allocate(orders, items, dict(stock))
+    assert {r.feed_id: r.accepted for r in found.decisions.collect()} == verdicts
+    assert {(r.feed_id, r.product_id, r.available, r.requested) for r in found.shortages.collect()} == set(shortages)
+    assert fronts.count("used") == allocation.TURNS - 1

@@ -40,6 +40,17 @@ def test_sum_before_does_not_depend_on_blocks(spark, block):
     }
 
 
+def test_only_wide_keys_are_cut_into_blocks(spark):
+    """Keys of few rows bring no totals of their own along, however short the blocks are."""
+    data = [(i, "a" if i % 3 else "b", i) for i in range(60)]
+    df = frame(spark, "pos bigint, k string, v bigint", data).withColumn("wide", F.col("k") == "a")
+    found = sum_before(df, "k", "pos", ["v"], 4, "wide")
+    want = {(p, k): sum(v for q, other, v in data if other == k and q < p) for p, k, _ in data}
+    assert {(r["pos"], r["k"]): r["v_before"] for r in found.collect()} == want
+    narrow = sum_before(df.withColumn("wide", F.lit(False)), "k", "pos", ["v"], 4, "wide")
+    assert {(r["pos"], r["k"]): r["v_before"] for r in narrow.collect()} == want
+
+
 def test_nest_cuts_every_key_the_same_way(spark):
     data = [(1, i) for i in range(53)] + [(2, 7), (2, 3)] + [(3, 5)] * 25
     random.Random(3).shuffle(data)
