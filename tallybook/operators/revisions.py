@@ -192,22 +192,24 @@ def _sale_number() -> Column:
 def void_orders(ids: DataFrame, state: State) -> State:
     """Delete the orders named in ``ids``, their lines and their ledger rows; no restocking.
 
-    Ledger rows are matched by the exact order number, whatever their type.
+    Ledger rows are matched by the exact order number, whatever their type. Tasks keep the keys of
+    what goes at hand and let the tables pass by, which are not sorted for that.
     """
-    gone = ids.select("id")
+    gone = ids.select("id").hint("shuffle_hash")
     orders, items = state["orders"], state["order_items"]
     ledger = state["financial_transactions"]
     numbers = orders.join(gone, "id", "left_semi").select(F.col("order_number").alias("_number"))
+    order_ids = ids.select(F.col("id").alias("order_id")).hint("shuffle_hash")
     named = F.coalesce(_sale_number() != "", F.lit(False))
     kept_sales = (
         ledger.where(named)
         .withColumn("_number", _sale_number())
-        .join(numbers, "_number", "left_anti")
+        .join(numbers.hint("shuffle_hash"), "_number", "left_anti")
         .drop("_number")
     )
     return dict(
         state,
         orders=orders.join(gone, "id", "left_anti"),
-        order_items=items.join(gone.withColumnRenamed("id", "order_id"), "order_id", "left_anti"),
+        order_items=items.join(order_ids, "order_id", "left_anti"),
         financial_transactions=kept_sales.unionByName(ledger.where(~named)),
     )

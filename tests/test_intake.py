@@ -461,6 +461,19 @@ def test_ledger_rows_with_nulls_stay(spark):
         assert done.state["financial_transactions"].count() == count
 
 
+def test_tables_are_not_sorted_to_void_orders(spark):
+    before = state(spark, {1: 5})
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = revisions.void_orders(ids(spark, 1, 70), before)
+        for name in ("orders", "order_items", "financial_transactions"):
+            plan = left[name]._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def chain(count):
     """Sales that each want a unit of two products, one shared with the sale before: every second is refused."""
     orders = [(i, i) for i in range(count)]
