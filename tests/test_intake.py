@@ -547,3 +547,65 @@ def test_turns_and_shared_products_change_nothing(spark, monkeypatch, block_orde
     assert {r.feed_id: r.accepted for r in found.decisions.collect()} == verdicts
     assert {(r.feed_id, r.product_id, r.available, r.requested) for r in found.shortages.collect()} == set(shortages)
     assert fronts.count("used") == allocation.TURNS - 1
+
+
+def exchanges(df):
+    """The plan's shuffles, as text, before any is run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_a_turn_finds_its_rows_dealt_by_product(spark, monkeypatch):
+    from tallybook.operators import allocation
+
+    monkeypatch.setattr(allocation, "TURN_ROWS", 10)
+    # As in a large batch, where no side is small enough to be sent to every task.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    levels, sales, asked = random_batch(6, 200, 12, 0.4)
+    first = []
+    settle = allocation._settle
+    def watched(rows, folder, turn, block_orders, walk_rows):
+        first.append(exchanges(allocation._bounded(rows, block_orders)))
+        settle(rows, folder, turn, block_orders, walk_rows)
+    monkeypatch.setattr(allocation, "_settle", watched)
+    try:
+        done = allocation.allocate_stock(
+            frame(spark, "feed_id bigint, arrival_seq bigint", sales),
+            frame(spark, "feed_id bigint, product_id bigint, quantity int", asked),
+            stock(spark, levels),
+        )
+        verdicts, shortages = sequential.allocate(sales, asked, dict(levels))
+        assert dict(rows(done.decisions)) == verdicts
+        got = rows(done.shortages.select("feed_id", "product_id", "available", "requested"))
+        assert sorted(got) == sorted(shortages)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only what earlier turns used is dealt, never the rows.
+    assert len(first) == 4 and not first[0] and all(len(x) <= 1 for x in first)
+
+
+def test_feeds_are_dealt_by_sale_once(spark, monkeypatch):
+    plans = {}
+    write = intake.materialize_by
+    def watched(df, key, label="table"):
+        plans[label] = exchanges(df)
+        return write(df, key, label)
+    monkeypatch.setattr(intake, "materialize_by", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sales, asked = random_sales(3, 30, 4)
+        done = intake.order_intake(feed(spark, *sales), lines(spark, *asked), state(spark, {1: 20, 2: 9, 3: 30, 4: 5}), 2024)
+        assert done.accepted.count() + done.rejected.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "heads" in plans and "asked" in plans
+    # What is left to deal are the few that are taken and unknown products, not heads and lines.
+    assert len(plans["lines"]) <= 1 and not any("feed_id" in x for x in plans["checked"] if "product_id" in x)
+
+
+def test_missing_products_are_found_among_repeated_ones(spark):
+    sales = [sale(1), sale(2), sale(3)]
+    asked = [line(1, 1, 1), line(2, 1, 8), line(2, 2, 1), line(3, 1, None)]
+    twice = stock(spark, {1: 5}).unionByName(stock(spark, {1: 7}))
+    found = dict(rows(intake.intake_validate(feed(spark, *sales), lines(spark, *asked), twice)))
+    assert found == {1: None, 2: "unknown_product", 3: "incomplete_item"}
